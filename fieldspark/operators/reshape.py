@@ -73,18 +73,20 @@ def interaction(*cols: ColumnLike) -> Column:
     return F.concat(*[p for i, c in enumerate(cols) for p in ((F.lit("."), as_col(c).cast("string")) if i else (as_col(c).cast("string"),))])
 
 
-def nest(df: DataFrame, keys: Sequence[str], out: str = "data", max_rows: int = GROUP_LIMIT // 40) -> DataFrame:
-    """Rows of each key as an array of structs.
+def nest(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str = "data", max_rows: int = GROUP_LIMIT // 40
+) -> DataFrame:
+    """Rows of each key as an array of structs, sorted by ``order_by``, which is unique.
 
     A key with more than ``max_rows`` rows is held in several rows, numbered by ``part``, so that
     no row or task holds an unbounded group. Nothing is dropped: :func:`unnest` gives back all rows.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [*order_by, *[c for c in df.columns if c not in keys and c not in order_by]]
     counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(max_rows))).cast("int").alias("__parts"))
     sized = r_join(df, counts, list(keys), "left")
-    # A part is picked from the row content; exact copies spread by a random draw instead of meeting in one part.
-    part = F.when(F.col("__parts") > 1, F.floor(F.rand(7) * F.col("__parts")).cast("int")).otherwise(0)
-    return sized.withColumn("part", part).groupBy(*keys, "part").agg(F.collect_list(F.struct(*rest)).alias(out))
+    # The part follows from the row's id, so a repeated task puts the row in the same part.
+    part = F.pmod(F.xxhash64(*order_by), F.col("__parts")).cast("int")
+    return sized.withColumn("part", part).groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(out))
 
 
 def unnest(df: DataFrame, col: str = "data") -> DataFrame:
