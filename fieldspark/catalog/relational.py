@@ -164,7 +164,7 @@ def merge_partial_columns(spark, d):
 @query("P18", """SELECT o_orderstatus, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-07-01' AND DATE '1998-08-30' GROUP BY 1""")
 def interval_predicate(spark, d):
     o = table(spark, d, "orders")
-    lo, hi = F.lit("1997-07-01").cast("timestamp"), F.lit("1998-08-31").cast("timestamp")
+    lo, hi = P.time_bound(o, "o_orderdate", "1997-07-01"), P.time_bound(o, "o_orderdate", "1998-08-31")
     # On the timestamp itself, so the bounds reach the scan; the last day is whole.
     return o.filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..fixtures import LOGGER, SITE_NAMES, logger, r, rsql, table
 from ..functions.text import site_from_name
 from ..operators.joins import r_join
+from ..operators.projection import time_bound
 from ..session import ensure_checkpoint_dir
 from ..sources import loggers as L
 from ..sources.delimited import decimal_comma, read_delim, read_parts
@@ -96,7 +97,7 @@ def site_code_from_name(spark, d):
 WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY o_orderstatus""")
 def load_source_tables(spark, d):
     orders = load_tables(spark, d, ["orders", "customer"])["orders"]
-    recent = orders.filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp"))
+    recent = orders.filter(F.col("o_orderdate") >= time_bound(orders, "o_orderdate", "1998-01-01"))
     return recent.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import r_join
 
@@ -28,9 +29,19 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(counts.agg(F.max("n")).first()[0] or 0)
 
 
+def _number(df: DataFrame, col: str) -> Column:
+    """An ordered column as a number in the same order."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        return F.col(col).cast("timestamp").cast("double")
+    if isinstance(kind, T.StringType):
+        raise TypeError(f"{col} is text; order by a number or a time")
+    return F.col(col).cast("double")
+
+
 def _splits(df: DataFrame, col: str, pieces: int) -> list[float]:
     probs = [i / pieces for i in range(1, pieces)]
-    return df.select(F.col(col).cast("double").alias("v")).approxQuantile("v", probs, 1.0 / (4 * pieces)) if probs else []
+    return df.select(_number(df, col).alias("v")).approxQuantile("v", probs, 1.0 / (4 * pieces)) if probs else []
 
 
 def with_pieces(df: DataFrame, order: str, tie: str | None = None, pieces: int = 64, out: str = "__piece") -> DataFrame:
@@ -44,24 +55,24 @@ def with_pieces(df: DataFrame, order: str, tie: str | None = None, pieces: int =
     distinct = sorted(set(cuts))
     heavy = sorted({v for v in distinct if cuts.count(v) > 1})
     inf = float("inf")
-    out_df = df.withColumn("__v", F.col(order).cast("double"))
+    out_df = df.withColumn("__ord", _number(df, order))
     if distinct:
-        cut = Bucketizer(splits=[-inf, *distinct, inf], inputCol="__v", outputCol="__b", handleInvalid="keep")
+        cut = Bucketizer(splits=[-inf, *distinct, inf], inputCol="__ord", outputCol="__b", handleInvalid="keep")
         out_df = cut.transform(out_df).withColumn("__b", F.col("__b").cast("long"))
     else:
         out_df = out_df.withColumn("__b", F.lit(0).cast("long"))
-    at_heavy = F.coalesce(F.col("__v").isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    at_heavy = F.coalesce(F.col("__ord").isin(heavy), F.lit(False)) if heavy else F.lit(False)
     # Split points belong to the piece above them, so a heavy value comes first in its piece.
     major = F.col("__b") * 2 + F.when(at_heavy, 0).otherwise(1)
     minor = F.lit(0).cast("long")
     if heavy and tie is not None:
-        ties = sorted(set(_splits(df.filter(F.col(order).cast("double").isin(heavy)), tie, pieces)))
+        ties = sorted(set(_splits(df.filter(_number(df, order).isin(heavy)), tie, pieces)))
         if ties:
             cut = Bucketizer(splits=[-inf, *ties, inf], inputCol="__t", outputCol="__tb", handleInvalid="keep")
-            out_df = cut.transform(out_df.withColumn("__t", F.col(tie).cast("double")))
+            out_df = cut.transform(out_df.withColumn("__t", _number(df, tie)))
             minor = F.when(at_heavy, F.col("__tb").cast("long")).otherwise(F.lit(0).cast("long"))
     out_df = out_df.withColumn(out, major * (MAX_PIECES + 1) + minor)
-    return out_df.drop("__v", "__b", "__t", "__tb")
+    return out_df.drop("__ord", "__b", "__t", "__tb")
 
 
 def _piece_count(largest: int, limit: int) -> int:

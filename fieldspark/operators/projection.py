@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import ColumnLike, as_col, is_in
+from ..functions.missing import is_in
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -72,6 +72,11 @@ def categorize(df: DataFrame, col: str, levels: Sequence[Any], labels: Sequence[
     return df.select("*", label.alias("__label"), order.alias(f"{out}_ord")).drop(out).withColumnRenamed("__label", out)
 
 
+def time_bound(df: DataFrame, col: str, text: str) -> Column:
+    """A bound in the type of the column, so that the comparison reaches the scan."""
+    return F.lit(text).cast(df.schema[col].dataType)
+
+
 def select_series(
     df: DataFrame,
     site: str | Sequence[str] | None = None,
@@ -80,11 +85,11 @@ def select_series(
     loggers: Sequence[str] = (),
     include: bool = True,
     cap: float | None = None,
-    time: ColumnLike = "date",
+    time: str = "date",
 ) -> DataFrame:
     """Readings of a period (bounds excluded), of sites, of a logger list or of all others."""
-    t = as_col(time)
-    out = df.filter((t > F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp")))
+    t = F.col(time)
+    out = df.filter((t > time_bound(df, time, start)) & (t < time_bound(df, time, end)))
     if site is not None:
         out = out.filter(is_in("site", [site] if isinstance(site, str) else site))
     out = out.filter(is_in("logger", loggers) == F.lit(include))
