@@ -1,6 +1,6 @@
 """Every operator as a named query over the given tables."""
 
-from . import comparisons, relational, sources  # noqa: F401
+from . import climate, comparisons, models, relational, sources, vegetation  # noqa: F401
 from .registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

@@ -28,10 +28,10 @@ def moments(
     names = [f"__x{i}" for i in range(len(x))] + ["__y"]
     w = F.lit(1.0) if weight is None else weight
     rows = df.select(*by, *[c.alias(n) for n, c in zip(names, [*x.values(), y])], w.alias("__w")).dropna(subset=[*names, "__w"])
-    sums = [
-        F.sum(F.col("__w") * F.col(names[i]) * F.col(names[j])) for i in range(len(names)) for j in range(i, len(names))
-    ]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("__w").alias("sw"), F.array(*sums).alias("m")]
+    # One text expression for the triangle instead of a call per product.
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    triangle = ", ".join(f"sum(__w * {a} * {b})" for a, b in pairs)
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("__w").alias("sw"), F.expr(f"array({triangle})").alias("m")]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
 

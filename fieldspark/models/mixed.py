@@ -61,22 +61,16 @@ def _lattice_terms(sums: DataFrame, top: str, nested: bool, size: int, points: l
 
     ``points`` are (outer ratio, inner ratio); the inner one is 0 without nesting.
     """
-    lattice = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, (a, b) in enumerate(points)])
+    # Expressions go over as text: one call each instead of one per operator.
+    lattice = ", ".join(f"named_struct('i', {i}, 'a', {a!r}D, 'b', {b!r}D)" for i, (a, b) in enumerate(points))
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    rows = sums.withColumn("__p", F.explode(lattice)).select("*", "__p.i", "__p.a", "__p.b").drop("__p")
-    shrink = 1 / (1 + F.col("b") * F.col("n"))
-    rows = rows.withColumn("__k", shrink)
-    inner = [F.sum(F.ln(1 + F.col("b") * F.col("n"))).alias("ld"), F.sum(F.col("n") * F.col("__k")).alias("m")]
-    inner += [F.sum(F.col("__k") * F.col(f"s{i}")).alias(f"u{i}") for i in range(size)]
+    rows = sums.selectExpr("*", f"inline(array({lattice}))").withColumn("k", F.expr("1 / (1 + b * n)"))
+    inner = ["sum(ln(1 + b * n)) AS ld", "sum(n * k) AS m", *[f"sum(k * s{i}) AS u{i}" for i in range(size)]]
     if nested:
-        inner += [F.sum(F.col("b") * F.col("__k") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}_{j}") for i, j in pairs]
-    outer_rows = rows.groupBy("i", "a", top).agg(*inner)
-    scale = F.col("a") / (1 + F.col("a") * F.col("m"))
-    corr = []
-    for i, j in pairs:
-        part = scale * F.col(f"u{i}") * F.col(f"u{j}")
-        corr.append(F.sum(part + F.col(f"c{i}_{j}") if nested else part))
-    return outer_rows.groupBy("i").agg(F.sum(F.col("ld") + F.ln(1 + F.col("a") * F.col("m"))).alias("ld"), F.array(*corr).alias("c")).collect()
+        inner += [f"sum(b * k * s{i} * s{j}) AS c{i}_{j}" for i, j in pairs]
+    tops = rows.groupBy("i", "a", top).agg(*[F.expr(e) for e in inner]).withColumn("w", F.expr("a / (1 + a * m)"))
+    corr = ", ".join(f"sum(w * u{i} * u{j}" + (f" + c{i}_{j})" if nested else ")") for i, j in pairs)
+    return tops.groupBy("i").agg(F.expr("sum(ld + ln(1 + a * m)) AS ld"), F.expr(f"array({corr}) AS c")).collect()
 
 
 def lmm(
@@ -87,8 +81,8 @@ def lmm(
     factors: Mapping[str, Sequence[object]] | None = None,
     reml: bool = False,
     intercept: bool = True,
-    rounds: int = 9,
-    width: int = 7,
+    rounds: int = 7,
+    width: int = 9,
 ) -> MixedFit:
     """Random-intercept model with one group level or two nested ones (outer first)."""
     if len(groups) not in (1, 2):
@@ -131,7 +125,7 @@ def lmm(
         evaluate([(a, b) for a in outer for b in inner])
         best = min(seen, key=lambda q: seen[q][0])
         centre = [math.log(v) if v > 0 else c for v, c in zip(best, centre)]
-        span *= 0.4
+        span *= 0.3
     dev, beta, inv, sigma2 = seen[best]
     names_g = [groups[0]] if not nested else [groups[0], f"{groups[1]}:{groups[0]}"]
     variances = {g: sigma2 * t for g, t in zip(names_g, best)}
@@ -141,9 +135,7 @@ def lmm(
 
 def _group_effects(sums: DataFrame, groups: list[str], beta: np.ndarray, theta: tuple[float, float], p: int) -> DataFrame:
     """Predicted group effects, one row per lowest group."""
-    resid = F.col(f"s{p}")
-    for i, b in enumerate(beta):
-        resid = resid - F.lit(float(b)) * F.col(f"s{i}")
+    resid = F.expr(f"s{p}" + "".join(f" - ({float(b)!r}D) * s{i}" for i, b in enumerate(beta)))
     a, b = theta
     k = 1 / (1 + F.lit(b) * F.col("n"))
     rows = sums.select(*groups, "n", resid.alias("__r"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.grouping import scale
 from ..operators.joins import r_join
+from ..session import cut_lineage
 from .design import Term, design_columns
 from .least_squares import unpack
 
@@ -23,10 +23,21 @@ def pca(df: DataFrame, row: str, key: str, value: str, levels: Sequence[object],
     variable are left out. An axis points to where its largest loading is positive.
     """
     names = [str(v) for v in levels]
-    wide = df.groupBy(row).pivot(key, list(levels)).agg(F.avg(value)).dropna(subset=names)
-    scaled, _ = scale(wide, names, prefix="__s_")
-    scaled = scaled.select(row, *[F.coalesce(F.col(f"__s_{n}"), F.lit(0.0)).alias(f"__s_{n}") for n in names])
-    data = VectorAssembler(inputCols=[f"__s_{n}" for n in names], outputCol="__f").transform(scaled)
+    cells = df.groupBy(row, key).agg(F.avg(value).alias("__v")).filter(F.col("__v").isNotNull())
+    # One centre and scale per variable; the listed variables bound this table and each row's array.
+    stats = cells.groupBy(key).agg(F.avg("__v").alias("__m"), F.stddev_samp("__v").alias("__s"))
+    scaled = r_join(cells, stats, [key], "inner").withColumn(
+        "__z", F.coalesce(F.try_divide(F.col("__v") - F.col("__m"), F.col("__s")), F.lit(0.0))
+    )
+    place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(key))
+    rows = (
+        scaled.withColumn("__i", place)
+        .filter(F.col("__i") > 0)
+        .groupBy(row)
+        .agg(F.sort_array(F.collect_list(F.struct("__i", "__z"))).alias("__p"))
+        .filter(F.size("__p") == len(names))
+    )
+    data = cut_lineage(rows.select(row, array_to_vector(F.col("__p.__z")).alias("__f")))
     model = PCA(k=k, inputCol="__f", outputCol="__pc").fit(data)
     load = model.pc.toArray()
     signs = np.sign(load[np.abs(load).argmax(axis=0), range(k)])
@@ -65,8 +76,14 @@ def rda(
     p = len(names)
     cols = [f"__x{i}" for i in range(p)]
     base = x.select(row, *[c.alias(n) for c, n in zip(design.values(), cols)]).dropna()
-    sums = [F.sum(F.col(cols[i]) * F.col(cols[j])) for i in range(p) for j in range(i, p)]
-    head = base.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*sums).alias("m")).first()
+    # Repeated products go over as text: one call each instead of one per operator.
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    array_of = lambda parts: F.expr("array(" + ", ".join(parts) + ")")
+    head = base.agg(
+        F.count(F.lit(1)).alias("n"),
+        array_of([f"sum({c})" for c in cols]).alias("s"),
+        array_of([f"sum({cols[i]} * {cols[j]})" for i, j in pairs]).alias("m"),
+    ).first()
     n = int(head["n"])
     mean = np.array(head["s"]) / n
     xtx = unpack(head["m"], p) - n * np.outer(mean, mean)
@@ -78,9 +95,11 @@ def rda(
     per_species = joined.groupBy(key).agg(
         F.sum("__v").alias("sy"),
         F.sum(F.col("__v") * F.col("__v")).alias("syy"),
-        *[F.sum((F.col(c) - F.lit(float(mean[i]))) * F.col("__v")).alias(f"xy{i}") for i, c in enumerate(cols)],
+        *[F.expr(f"sum(({c} - ({float(mean[i])!r}D)) * __v)").alias(f"xy{i}") for i, c in enumerate(cols)],
     )
+    per_species = cut_lineage(per_species)
     ss = F.col("syy") - F.col("sy") * F.col("sy") / F.lit(float(n))
+    tot = per_species.agg(F.sum(ss).alias("ss"), array_of([f"sum(xy{i} * xy{j})" for i, j in pairs]).alias("m")).first()
 
     # Constraints freed from the conditioning terms: w = x_own - B' x_cond.
     if cond:
@@ -96,28 +115,20 @@ def rda(
     half = t @ (vecs[:, good] / np.sqrt(vals[good]))  # maps x to orthonormal constraints
     q = half.shape[1]
 
-    def combine(weights: np.ndarray, source: Sequence[Column]) -> Column:
-        out = F.lit(0.0)
-        for wgt, c in zip(weights, source):
-            out = out + F.lit(float(wgt)) * c
-        return out
-
-    xy = [F.col(f"xy{i}") for i in range(p)]
-    g = [combine(half[:, a], xy) for a in range(q)]
-    proj = per_species.select(key, ss.alias("ss"), *[c.alias(f"g{a}") for a, c in enumerate(g)])
-    gg = [F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i in range(q) for j in range(i, q)]
-    tot = proj.agg(F.sum("ss").alias("ss"), F.array(*gg).alias("m")).first()
-    eig, u = np.linalg.eigh(unpack(tot["m"], q))
+    def combine(weights: np.ndarray, source: Sequence[str]) -> Column:
+        return F.expr(" + ".join(f"({float(w)!r}D) * ({c})" for w, c in zip(weights, source)))
+
+    eig, u = np.linalg.eigh(half.T @ unpack(tot["m"], p) @ half)
     order = np.argsort(eig)[::-1]
     eig, u = np.clip(eig[order], 0, None), u[:, order]
     k = min(k, q)
     u = u[:, :k] * np.sign(u[np.abs(u[:, :k]).argmax(axis=0), range(k)])
     to_axis = half @ u
 
-    centred = [F.col(c) - F.lit(float(mean[i])) for i, c in enumerate(cols)]
+    centred = [f"{c} - ({float(mean[i])!r}D)" for i, c in enumerate(cols)]
     scores = base.select(row, *[combine(to_axis[:, a], centred).alias(f"RDA{a + 1}") for a in range(k)])
-    gcols = [F.col(f"g{a}") for a in range(q)]
-    species = proj.select(key, *[combine(u[:, a], gcols).alias(f"RDA{a + 1}") for a in range(k)])
+    xy = [f"xy{i}" for i in range(p)]
+    species = per_species.select(key, *[combine(to_axis[:, a], xy).alias(f"RDA{a + 1}") for a in range(k)])
     spark = y_long.sparkSession
     axes = spark.createDataFrame(
         [(f"RDA{a + 1}", float(eig[a] / (n - 1)), float(eig[a] / tot["ss"]) if tot["ss"] else None) for a in range(len(eig))],
@@ -150,7 +161,7 @@ def prc(
     # One indicator per treatment and time; a factor that keeps all times.
     joint = [f"{tr}@{ti}" for tr in treatments[1:] for ti in times]
     coded = coded.withColumn("both", F.concat_ws("@", F.col("tr").cast("string"), F.col("ti").cast("string")))
-    fit = rda(y_long, coded, row, key, value, ["ti", "both"], {"ti": list(times), "both": ["", *joint]}, condition=["ti"], k=k)
+    fit = rda(y_long, coded, row, key, value, ["ti", "both"], {"ti": list(times), "both": joint}, condition=["ti"], k=k)
     split = F.split(F.expr("substr(term, 6)"), "@")
     curves = fit["coefficients"].filter(F.col("term").startswith("both_")).select(
         split[0].alias("treatment"), split[1].alias("time"), "axis", "coefficient"

@@ -50,9 +50,9 @@ def trait_table(parts: Mapping[str, DataFrame], key: Sequence[str] = ("Site", "S
     if log_area in parts:
         out = out.withColumn("sqrtLA", F.sqrt(F.exp(log_area))).drop(log_area)
     out = out.filter(~F.col(key[1]).rlike(UNRELIABLE))
-    out = out.withColumn("species", species_code(key[1])).withColumnRenamed(key[0], "siteID")
-    out = out.withColumn("speciesID", F.concat_ws("_", "siteID", "species"))
-    return out if key[1] == "species" else out.drop(key[1])
+    names = [c for c in out.columns if c not in key]
+    out = out.select(F.col(key[0]).alias("siteID"), species_code(key[1]).alias("species"), *names)
+    return out.withColumn("speciesID", F.concat_ws("_", "siteID", "species"))
 
 
 def turnover(
