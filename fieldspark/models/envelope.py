@@ -34,7 +34,7 @@ def bspline_basis(x: np.ndarray, df: int, degree: int = 3) -> np.ndarray:
     return basis[:, 1:n]
 
 
-def check_fit(b: np.ndarray, y: np.ndarray, tau: float, iterations: int = 300, tol: float = 1e-8) -> np.ndarray:
+def check_fit(b: np.ndarray, y: np.ndarray, tau: float, iterations: int = 200, tol: float = 1e-7) -> np.ndarray:
     """Coefficients that minimise the check loss, by majorised least squares with a shrinking guard."""
     coef, *_ = np.linalg.lstsq(b, y, rcond=None)
     scale = max(float(np.std(y)), 1e-9)
@@ -44,12 +44,16 @@ def check_fit(b: np.ndarray, y: np.ndarray, tau: float, iterations: int = 300, t
         w = 1.0 / (eps + np.abs(r))
         lhs = (b * w[:, None]).T @ b
         rhs = b.T @ (w * y + (2 * tau - 1))
-        new = np.linalg.lstsq(lhs, rhs, rcond=None)[0]
+        lhs[np.diag_indices_from(lhs)] *= 1 + 1e-12
+        try:
+            new = np.linalg.solve(lhs, rhs)
+        except np.linalg.LinAlgError:
+            new = np.linalg.lstsq(lhs, rhs, rcond=None)[0]
         moved = np.max(np.abs(b @ (new - coef)))
         coef = new
         if moved < tol * scale and eps <= 1e-6 * scale:
             break
-        eps = max(eps * 0.9, 1e-6 * scale)
+        eps = max(eps * 0.8, 1e-6 * scale)
     return coef
 
 

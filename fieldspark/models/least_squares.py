@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import ratio
+from ..operators.grouping import attach_row
 from ..operators.joins import r_join
 from .design import Term, design_columns
 
@@ -114,7 +115,7 @@ def poly_trend(df: DataFrame, keys: Sequence[str], y: str, x: str, degree: int =
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     rows = df.filter(both).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     centres = rows.groupBy(*keys).agg(F.avg("__x").alias("__c")) if keys else rows.agg(F.avg("__x").alias("__c"))
-    joined = r_join(rows, centres, list(keys), "left") if keys else rows.crossJoin(F.broadcast(centres))  # one row
+    joined = r_join(rows, centres, list(keys), "left") if keys else attach_row(rows, centres)
     d = F.col("__x") - F.col("__c")
     powers = joined.withColumns({f"x{k}": F.pow(d, F.lit(float(k))) for k in range(1, degree + 1)})
     fit = ols(powers.withColumnRenamed("__y", y), y, [f"x{k}" for k in range(1, degree + 1)], by=keys)

@@ -75,7 +75,7 @@ def rda(
     cond = [i for i in range(len(names)) if i not in own]
     p = len(names)
     cols = [f"__x{i}" for i in range(p)]
-    base = x.select(row, *[c.alias(n) for c, n in zip(design.values(), cols)]).dropna()
+    base = cut_lineage(x.select(row, *[c.alias(n) for c, n in zip(design.values(), cols)]).dropna())
     # Repeated products go over as text: one call each instead of one per operator.
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     array_of = lambda parts: F.expr("array(" + ", ".join(parts) + ")")

@@ -21,14 +21,12 @@ def dissimilarity(
     """
     long = df.groupBy(*turf, time, species).agg(F.sum(cover).alias("__c")).filter(F.col("__c") > 0)
     base = long.filter(F.col(time) == t0).drop(time).withColumnRenamed("__c", "__b")
-    totals = long.groupBy(*turf, time).agg(F.sum("__c").alias("total"))
-    base_totals = totals.filter(F.col(time) == t0).drop(time).withColumnRenamed("total", "base_total")
-    shared = (
-        r_join(long, base, [*turf, species], "inner")
+    base_totals = base.groupBy(*turf).agg(F.sum("__b").alias("base_total"))
+    totals = (
+        r_join(long, base, [*turf, species], "left")
         .groupBy(*turf, time)
-        .agg(F.sum(F.least("__c", "__b")).alias("shared"))
+        .agg(F.sum("__c").alias("total"), F.sum(F.least("__c", F.coalesce(F.col("__b"), F.lit(0.0)))).alias("shared"))
     )
-    out = r_join(r_join(totals, base_totals, list(turf), "inner"), shared, [*turf, time], "left")
-    bray = 1 - ratio(2 * F.coalesce(F.col("shared"), F.lit(0.0)), F.col("total") + F.col("base_total"))
-    out = out.withColumn("bray", bray)
+    out = r_join(totals, base_totals, list(turf), "inner")
+    out = out.withColumn("bray", 1 - ratio(2 * F.col("shared"), F.col("total") + F.col("base_total")))
     return out.withColumn("jaccard", ratio(2 * F.col("bray"), 1 + F.col("bray"))).select(*turf, time, "bray", "jaccard")

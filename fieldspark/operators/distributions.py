@@ -8,16 +8,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import attach
+from .grouping import attach, attach_row
+from .joins import r_join
 from .quantiles import quantiles
 
-# Cumulative Poisson(1) probabilities; beyond the last one the weight is 9.
-_POISSON1 = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+# Cumulative Poisson(1) probabilities in 16-bit steps; beyond the last one the weight is 7.
+_POISSON1 = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(7)]
+# Replicates drawn from one 64-bit hash.
+_PER_HASH = 4
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number."""
-    out = F.lit(9)
+    """Poisson(1) draw from a uniform 16-bit number."""
+    out = F.lit(7)
     for k in range(len(_POISSON1) - 1, -1, -1):
         out = F.when(u < _POISSON1[k], k).otherwise(out)
     return out
@@ -30,21 +33,24 @@ def mean_cl_boot(
 
     Each row gets a Poisson weight per replicate from a hash of its id, so the draw is the same
     on every run and after a task is repeated. Replicates are summed on the map side: the shuffle
-    carries one row per group and replicate.
+    carries one row per group and hash, with four replicates in it.
     """
-    rows = df.select(*keys, F.col(col).cast("double").alias("__x"), F.xxhash64(*row_id).alias("__h")).filter(F.col("__x").isNotNull())
-    draws = rows.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    bits = F.pmod(F.xxhash64("__h", "__b", F.lit(seed)), F.lit(1 << 30))
-    draws = draws.withColumn("__w", poisson_weight(bits / F.lit(float(1 << 30))))
-    means = draws.groupBy(*keys, "__b").agg(F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("__m"))
+    rows = df.select(*keys, F.col(col).cast("double").alias("__x"), F.xxhash64(*row_id).alias("__id")).filter(F.col("__x").isNotNull())
+    hashes = -(-replicates // _PER_HASH)
+    drawn = rows.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(hashes)))).withColumn("__h", F.xxhash64("__id", "__b", F.lit(seed)))
+    weights = [poisson_weight(F.shiftrightunsigned("__h", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(_PER_HASH)]
+    drawn = drawn.select(*keys, "__b", "__x", *[w.alias(f"w{i}") for i, w in enumerate(weights)])
+    sums = drawn.groupBy(*keys, "__b").agg(
+        *[F.try_divide(F.sum(F.col(f"w{i}") * F.col("__x")), F.sum(f"w{i}")).alias(f"m{i}") for i in range(_PER_HASH)]
+    )
+    number = lambda i: (F.col("__b") - 1) * _PER_HASH + i
+    means = sums.select(*keys, F.inline(F.array(*[F.struct(number(i).alias("__r"), F.col(f"m{i}").alias("__m")) for i in range(_PER_HASH)])))
+    means = means.filter(F.col("__r") < replicates)
     tail = (1 - level) / 2
-    bounds = quantiles(means, keys, "__m", [tail, 1 - tail], ["lower", "upper"], limit=max(replicates, 1) + 1)
+    bounds = means.groupBy(*keys).agg(F.percentile("__m", F.array(F.lit(tail), F.lit(1 - tail))).alias("__q"))
+    bounds = bounds.select(*keys, F.col("__q")[0].alias("lower"), F.col("__q")[1].alias("upper"))
     base = rows.groupBy(*keys).agg(F.avg("__x").alias("mean"), F.count("__x").alias("n"))
-    if not keys:
-        return base.crossJoin(F.broadcast(bounds))  # one row each
-    from .joins import r_join
-
-    return r_join(base, bounds, list(keys), "left")
+    return r_join(base, bounds, list(keys), "left") if keys else attach_row(base, bounds)
 
 
 def histogram(df: DataFrame, keys: Sequence[str], col: str, width: float, origin: float = 0.0) -> DataFrame:
@@ -73,12 +79,10 @@ def kde(
     if bw is None:
         stats = rows.groupBy(*keys).agg(F.stddev_samp("__x").alias("sd"), F.count("__x").alias("n"))
         q = quantiles(rows, keys, "__x", [0.25, 0.75], ["a", "b"])
-        from .joins import r_join
-
-        stats = r_join(stats, q, list(keys), "left") if keys else stats.crossJoin(F.broadcast(q))
+        stats = r_join(stats, q, list(keys), "left") if keys else attach_row(stats, q)
         spread = F.least("sd", F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / 1.34))
         stats = stats.select(*keys, (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
-        binned = r_join(binned, stats, list(keys), "left") if keys else binned.crossJoin(F.broadcast(stats))
+        binned = r_join(binned, stats, list(keys), "left") if keys else attach_row(binned, stats)
     else:
         binned = binned.withColumn("bw", F.lit(float(bw)))
     total = attach(binned, keys, total=F.sum("w"))

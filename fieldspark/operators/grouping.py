@@ -16,11 +16,17 @@ from ..functions.missing import if_else, ratio
 from .joins import r_join
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row, as a scalar subquery; two rows are an error."""
+    one = row.select(F.struct(*row.columns).alias("__one"))
+    return df.withColumn("__one", one.scalar()).select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in row.columns])
+
+
 def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Group aggregates as extra columns on every row; without keys, of the whole table."""
     exprs = [e.alias(n) for n, e in aggs.items()]
     if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*exprs)))  # exactly one row
+        return attach_row(df, df.agg(*exprs))
     return r_join(df, df.groupBy(*keys).agg(*exprs), list(keys), "left")
 
 
@@ -171,7 +177,7 @@ def scale(
 def apply_scale(df: DataFrame, fitted: DataFrame, cols: Sequence[str], by: Sequence[str] = (), prefix: str = "s") -> DataFrame:
     """Standardise with centres and scales fitted before."""
     slim = fitted.select(*by, *[f"{c}_{p}" for c in cols for p in ("center", "scale")])
-    out = r_join(df, slim, list(by), "left") if by else df.crossJoin(F.broadcast(slim))  # one row
+    out = r_join(df, slim, list(by), "left") if by else attach_row(df, slim)
     out = out.withColumns({f"{prefix}{c}": ratio(F.col(c) - F.col(f"{c}_center"), F.col(f"{c}_scale")) for c in cols})
     return out.drop(*[f"{c}_{p}" for c in cols for p in ("center", "scale")])
 
@@ -179,7 +185,7 @@ def apply_scale(df: DataFrame, fitted: DataFrame, cols: Sequence[str], by: Seque
 def band_flag(df: DataFrame, ref_filter: Column, col: str, half_width: float, out: str = "in_band") -> DataFrame:
     """Flag values within ``half_width`` of the mean of the reference rows."""
     mean = df.filter(ref_filter).agg(F.avg(col).alias("__mean"))
-    flagged = df.crossJoin(F.broadcast(mean))  # one row
+    flagged = attach_row(df, mean)
     band = F.col(col).between(F.col("__mean") - half_width, F.col("__mean") + half_width)
     return flagged.withColumn(out, band).drop("__mean")
 

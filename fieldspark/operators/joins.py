@@ -36,12 +36,16 @@ def r_join(
     how: str = "left",
     suffix: tuple[str, str] = ("", "_new"),
     na_matches: bool = True,
+    hot_keys: bool = False,
 ) -> DataFrame:
     """Join in which missing keys match missing keys and key columns appear once.
 
     Without ``by`` all common columns are keys. Other columns with the same name get ``suffix``.
-    A full join merges the keys of both sides.
+    A full join merges the keys of both sides. Spark cannot split a hot key in a full join;
+    ``hot_keys`` runs it as an inner join and the two sets of unmatched rows, which it can split.
     """
+    if how == "full" and hot_keys:
+        return _split_full_join(left, right, by, suffix, na_matches)
     pairs = _pairs(common_columns(left, right) if by is None else by)
     if not pairs:
         raise ValueError("no common columns to join on")
@@ -75,6 +79,18 @@ def r_join(
     return joined.drop(*temps)
 
 
+def _split_full_join(left: DataFrame, right: DataFrame, by: Keys | None, suffix: tuple[str, str], na_matches: bool) -> DataFrame:
+    pairs = _pairs(common_columns(left, right) if by is None else by)
+    lkeys, rkeys = [a for a, _ in pairs], [b for _, b in pairs]
+    both = r_join(left, right, dict(pairs), "inner", suffix, na_matches)
+    only_left = r_join(left, right.select(*rkeys).distinct(), dict(pairs), "left_anti", na_matches=na_matches)
+    only_right = r_join(right, left.select(*lkeys).distinct(), {b: a for a, b in pairs}, "left_anti", na_matches=na_matches)
+    clash = (set(left.columns) - set(lkeys)) & (set(right.columns) - set(rkeys))
+    only_left = only_left.withColumnsRenamed({c: c + suffix[0] for c in clash})
+    only_right = only_right.withColumnsRenamed({**dict(zip(rkeys, lkeys)), **{c: c + suffix[1] for c in clash}})
+    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+
+
 def semi(df: DataFrame, keys_df: DataFrame, by: Keys) -> DataFrame:
     """Rows whose key occurs in ``keys_df``."""
     return r_join(df, keys_df, by, "left_semi")
@@ -129,12 +145,19 @@ def anomaly_vs(
 def paired_delta(
     df: DataFrame, treatment: str, treat: str, control: str, on: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
-    """Treatment minus control for each ``on`` key; a missing control gives NULL."""
-    treated = unique_by(df.filter(F.col(treatment) == treat), on, cols, "treatment rows")
-    controls = unique_by(df.filter(F.col(treatment) == control), on, cols, "control rows")
-    controls = controls.select(*on, *[F.col(c).alias(f"{c}_control") for c in cols])
-    out = r_join(treated, controls, list(on), "left")
-    return out.withColumns({f"delta_{c}": F.col(c) - F.col(f"{c}_control") for c in cols})
+    """Treatment minus control for each ``on`` key; a missing control gives NULL.
+
+    Both values come from one aggregate, which also checks that neither row repeats.
+    """
+    t, c = F.col(treatment) == treat, F.col(treatment) == control
+    aggs = [F.sum(t.cast("int")).alias("__t"), F.sum(c.cast("int")).alias("__c")]
+    for col in cols:
+        aggs += [F.max(F.when(t, F.col(col))).alias(col), F.max(F.when(c, F.col(col))).alias(f"{col}_control")]
+    pairs = df.filter(F.col(treatment).isin(treat, control)).groupBy(*on).agg(*aggs)
+    message = F.concat(F.lit("treatment or control rows repeat for key "), F.to_json(F.struct(*on)))
+    once = F.when((F.col("__t") <= 1) & (F.col("__c") <= 1), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    pairs = pairs.filter(once).filter(F.col("__t") == 1).drop("__t", "__c")
+    return pairs.withColumns({f"delta_{col}": F.col(col) - F.col(f"{col}_control") for col in cols})
 
 
 def baseline_delta(df: DataFrame, key: Sequence[str], time: str, t0: object, cols: Sequence[str]) -> DataFrame:

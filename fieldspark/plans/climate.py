@@ -14,6 +14,7 @@ from ..operators.grouping import annual_then_mean, hourly_mean, subtract_min
 from ..operators.joins import fill_from_alternative, r_join
 from ..operators.reshape import complete
 from ..operators.sets import substitute_rows
+from ..session import cut_lineage
 
 
 def weather_class(sunniness: ColumnLike) -> Column:
@@ -85,6 +86,8 @@ def sunniness_index(
         .agg(weighted_mean("prop", "fitted").alias("sunniness"))
         .withColumn("sunniness", F.when(F.col("sunniness") > 1, F.lit(1.0)).otherwise(F.col("sunniness")))
     )
+    # One row per site and day from here on; the steps below read it several times.
+    daily = cut_lineage(daily)
     if sites is not None:
         daily = complete(daily, "siteID", sites, ["date"])
     if fallback is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import r_sum
@@ -61,22 +61,45 @@ def correct_observer_bias(
     total: str = "totalVascular",
     recorder: str = "recorder",
 ) -> DataFrame:
-    """Apply the rules one after the other; later rules see the corrected covers."""
-    for rule in rules:
+    """Apply the rules one after the other; later rules see the corrected covers.
+
+    All rules need is one row of sums per key, so there is one aggregate and one join, whatever
+    the number of rules. A factor on a whole key scales the sums that later rules compare.
+    """
+    known = F.when(F.col(total) != 0, F.col(total))
+    bounded = [r for r in rules if r.below is not None or r.above is not None]
+    aggs = []
+    for i, rule in enumerate(bounded):
         own = F.col(recorder) == rule.recorder
-        if rule.below is None and rule.above is None:
-            df = df.withColumn(cover, update_where(own, F.col(cover) * rule.factor, cover))
+        missing = F.max((own & F.col(cover).isNull()).cast("int")) == 1
+        aggs.append(F.when(~missing, F.sum(F.when(own, F.col(cover)))).alias(f"__s{i}"))
+        aggs.append(F.min(F.when(own, known)).alias(f"__lo{i}"))
+        aggs.append(F.max(F.when(own, known)).alias(f"__hi{i}"))
+    own_factor: dict[str, float] = {}
+    key_factor = F.lit(1.0)
+    i = 0
+    for rule in rules:
+        if rule not in bounded:
+            own_factor[rule.recorder] = own_factor.get(rule.recorder, 1.0) * rule.factor
             continue
-        known = F.when(F.col(total) != 0, F.col(total))
-        sums = df.filter(own).groupBy(*keys).agg(r_sum(cover).alias("__s"), F.min(known).alias("__lo"), F.max(known).alias("__hi"))
+        current = F.col(f"__s{i}") * key_factor * own_factor.get(rule.recorder, 1.0)
         hit = F.lit(False)
         if rule.below is not None:
-            hit = hit | (ratio("__s", "__hi") < rule.below)
+            hit = hit | (ratio(current, f"__hi{i}") < rule.below)
         if rule.above is not None:
-            hit = hit | (ratio("__s", "__lo") > rule.above)
-        flagged = r_join(df, sums.filter(hit).select(*keys, F.lit(True).alias("__hit")), list(keys), "left")
-        df = flagged.withColumn(cover, update_where(F.col("__hit"), F.col(cover) * rule.factor, cover)).drop("__hit")
-    return df
+            hit = hit | (ratio(current, f"__lo{i}") > rule.above)
+        key_factor = key_factor * F.when(hit, F.lit(rule.factor)).otherwise(F.lit(1.0))
+        i += 1
+    factor = F.lit(1.0)
+    for name, f in own_factor.items():
+        factor = F.when(F.col(recorder) == name, F.lit(f)).otherwise(factor)
+    if bounded:
+        recorders = sorted({r.recorder for r in bounded})
+        sums = df.filter(F.col(recorder).isin(recorders)).groupBy(*keys).agg(*aggs)
+        factors = sums.select(*keys, key_factor.alias("__f")).filter(F.col("__f") != 1)
+        df = r_join(df, factors, list(keys), "left")
+        factor = factor * F.coalesce(F.col("__f"), F.lit(1.0))
+    return df.withColumn(cover, F.col(cover) * factor).drop("__f")
 
 
 def harmonise_units(df: DataFrame, cols: Sequence[str], year: str, years: Sequence[int], factor: float) -> DataFrame:
@@ -92,25 +115,35 @@ def impute_missing_cover(df: DataFrame, exclude_treatments: Sequence[str] = ("XC
     candidate (b) the mean of the species at the site in that year. (b) goes before (a), and (a)
     before the recorded value; rows that stay without a cover are dropped.
     """
-    index = sampling_index(df, ["turfID"], "Year")
     gap = F.col("presence").isNotNull() & F.col("cover").isNull()
-    known = r_join(df.filter(F.col("cover").isNotNull()).select("turfID", "species", "Year", "cover"), index, ["turfID", "Year"])
-    missing = r_join(df.filter(gap).select(*PLOT), index, ["turfID", "Year"])
-    near = adjacent(missing, known, ["turfID", "species"], "sampling", ["cover"])
+    missing = df.filter(gap).select(*PLOT).distinct()
+    # Neighbouring years come from the short list of samplings, so the covers are only probed.
+    years = neighbour_times(df, ["turfID"], "Year")
+    near = r_join(missing, years, ["turfID", "Year"]).withColumn("__near", F.explode(F.array("before", "after")))
+    covers = df.filter(F.col("cover").isNotNull()).select("turfID", "species", F.col("Year").alias("__near"), F.col("cover").alias("__c"))
     by_time = (
-        near.groupBy(*PLOT)
-        .agg(F.count(F.lit(1)).alias("__n"), F.avg("cover_near").alias("__a"))
+        r_join(near, covers, ["turfID", "species", "__near"], "inner")
+        .groupBy(*PLOT)
+        .agg(F.count(F.lit(1)).alias("__n"), F.avg("__c").alias("__a"))
         .filter(F.col("__n") == 2)
         .drop("__n")
     )
     site_mean = df.groupBy("siteID", "species", "Year").agg(F.avg("cover").alias("__b"))
-    wanted = df.filter(gap & ~F.col("Treatment").isin(list(exclude_treatments))).select(*PLOT).distinct()
-    by_site = r_join(wanted, site_mean, ["siteID", "species", "Year"])
-    out = r_join(r_join(df, by_time, PLOT), by_site, PLOT)
-    out = out.withColumn("cover", F.coalesce("__b", "__a", "cover")).drop("__a", "__b")
+    fixes = r_join(r_join(missing, site_mean, ["siteID", "species", "Year"]), by_time, PLOT)
+    own_site = F.when(~F.col("Treatment").isin(list(exclude_treatments)), F.col("__b"))
+    fixes = fixes.select(*PLOT, F.coalesce(own_site, F.col("__a")).alias("__fix")).filter(F.col("__fix").isNotNull())
+    out = r_join(df, fixes, PLOT)
+    out = out.withColumn("cover", F.when(gap, F.col("__fix")).otherwise(F.col("cover"))).drop("__fix")
     return out.filter(F.col("cover").isNotNull())
 
 
+def neighbour_times(df: DataFrame, key: Sequence[str], time: str) -> DataFrame:
+    """Previous and next sampling time of each key and time."""
+    times = df.select(*key, time).distinct()
+    w = Window.partitionBy(*key).orderBy(time)
+    return times.withColumns({"before": F.lag(time).over(w), "after": F.lead(time).over(w)})
+
+
 def impute_group_cover(df: DataFrame, col: str, treatments: Sequence[str]) -> DataFrame:
     """Missing plot-level group covers as the mean of both neighbouring samplings.
 
