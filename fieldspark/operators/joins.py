@@ -156,7 +156,7 @@ def paired_delta(
     pairs = df.filter(F.col(treatment).isin(treat, control)).groupBy(*on).agg(*aggs)
     message = F.concat(F.lit("treatment or control rows repeat for key "), F.to_json(F.struct(*on)))
     once = F.when((F.col("__t") <= 1) & (F.col("__c") <= 1), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    pairs = pairs.filter(once).filter(F.col("__t") == 1).drop("__t", "__c")
+    pairs = pairs.filter(once).filter(F.col("__t") >= 1).drop("__t", "__c")
     return pairs.withColumns({f"delta_{col}": F.col(col) - F.col(f"{col}_control") for col in cols})
 
 
