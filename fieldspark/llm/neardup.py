@@ -5,11 +5,14 @@ per document; table (i, j) has the key (A_i, B_j). So ``2 * halves * rows`` minh
 tables. A half that no other document has cannot be part of a shared table key, and goes before the
 pairs are formed.
 
-Documents with equal sets are one class, represented by its smallest id. Candidates within a table's
-bucket are tried in rounds: each document against the bucket's leader, a different leader each round;
-then buckets whose members are still in several components are tried pair by pair between components.
-So a bucket of thousands of copies costs a few trials per document, and no candidate pair is left out
-that could still join two components. Pairs whose set sizes rule out the similarity are not tried.
+Documents with equal sets are one class, represented by its smallest id. In every bucket the document
+that meets most others (in all tables) leads, and the others are tried against it; a second round has
+other leaders. Most copies are in one component then. What is left are buckets whose members are in
+several components: everyone who met a leader there is in the leader's region, and two documents of a
+bucket share a region. In a region the documents outside the leader's component are compared with all
+others in cells of bounded blocks, by a product of incidence matrices, and each gives one link per
+component that it joins. So no pair is emitted that is not a link, and no candidate pair is left out.
+Pairs whose set sizes rule out the similarity are not tried.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -42,8 +44,8 @@ class NearDuplicates:
     percent: int = 80
     halves: int = 12
     rows: int = 2
-    leader_rounds: int = 3
-    leaders: int = 4
+    leader_rounds: int = 2
+    block: int = 256
 
 
 def document_sets(column: pa.Array, words: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -126,6 +128,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return per_batch(with_sets.select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean")
 
 
+def cell_links(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For every asking document and other component one link to it, if there is one, from full sets.
+
+    ``ids``: documents of a cell; ``asks``: those that are compared with the ones that do not ask.
+    """
+    q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(q) or not len(c):
+        return []
+    # Only shingles on both sides count for an intersection.
+    shared = np.intersect1d(np.concatenate([sets[i] for i in q]), np.concatenate([sets[i] for i in c]))
+    common = np.zeros((len(q), len(c)), np.float32)
+    where = [np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)]) for s in sets]
+    for a in range(0, len(shared), 8192):
+        sides = []
+        for side in (q, c):
+            m = np.zeros((len(side), min(8192, len(shared) - a)), np.float32)
+            for r, i in enumerate(side):
+                m[r, where[i][np.searchsorted(where[i], a) : np.searchsorted(where[i], a + 8192)] - a] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    both = common.astype(np.int64)
+    linked = (100 * both >= percent * (sizes[q][:, None] + sizes[c][None, :] - both)) & (labels[q][:, None] != labels[c][None, :])
+    out = []
+    for r, i in enumerate(q):
+        _, first = np.unique(labels[c[linked[r]]], return_index=True)
+        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[c[linked[r]]][first].tolist()]
+    return out
+
+
+def region_links(regions: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFrame:
+    """``a, b, ok``: links between components in every region ``leader, leading, id, n, label``.
+
+    ``leading`` is the leader's component. A region's documents are dealt into blocks; those outside the
+    leading component ask all blocks.
+    """
+    sizes = regions.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("leading")).alias("q"))
+    blocks = lambda c: F.ceil(F.col(c) / spec.block).cast("int")
+    # The leader's own pairs were tried in the first round, so that a region of two holds nothing new.
+    least = 3 if spec.leader_rounds else 2
+    sized = regions.join(sizes.filter((F.col("m") >= least) & (F.col("q") > 0)), "leader").join(sets, "id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("id"), blocks(c))
+    rows = ["leader", "id", "label", "hashes"]
+    asking = sized.filter("label != leading").select(*rows, block("q").cast("int").alias("qb"), every("m").alias("cb"), F.lit(True).alias("asks"))
+    others = sized.select(*rows, every("q").alias("qb"), block("m").cast("int").alias("cb"), F.lit(False).alias("asks"))
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, asks, hashes = [], [], [], []
+        for b in batches:
+            ids.append(b.column("id").to_numpy())
+            labels.append(b.column("label").to_numpy())
+            asks.append(b.column("asks").to_numpy(zero_copy_only=False))
+            hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
+        found = cell_links(np.concatenate(ids), np.concatenate(labels), np.concatenate(asks), hashes, spec.percent)
+        if found:
+            a, b = zip(*found)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(a))], names=["a", "b", "ok"])
+
+    return asking.unionAll(others).groupBy("leader", "qb", "cb").applyInArrow(cell, "a long, b long, ok boolean").distinct()
+
+
 def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -142,8 +206,10 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     firsts = full.groupBy(*same).agg(F.min("doc_id").alias("id"))
     classes = full.join(firsts.withColumnRenamed("id", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "halves").dropDuplicates(["id", "n"])
     tables = table_rows(classes, spec)
-    busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    tables = stored(tables.join(busy, "key", "left_semi"), "tables")
+    busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    tables = stored(tables.join(busy, "key"), "tables")
+    degrees = tables.groupBy("id").agg(F.sum("c").alias("d"))
+    tables = tables.drop("c").join(degrees, "id")
     members = tables.select("id").distinct()
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,11 +222,10 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     # A repeated id has one set per text; any of them may link.
     sets = stored(per_batch(texts, full_sets, "id long, hashes binary"), "sets")
 
-    tried: DataFrame | None = None
+    links: DataFrame | None = None
     labels: DataFrame | None = None
     left = tables
     for step in range(spec.leader_rounds + 1):
-        order = F.struct(F.xxhash64("id", F.lit(step)).alias("o"), F.col("id").alias("id"), F.col("n").alias("n"))
         if labels is None:
             own = left.withColumn("label", F.col("id"))
         else:
@@ -170,22 +235,18 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
             left = own.drop("label")
             if own.isEmpty():
                 break
-        if step < spec.leader_rounds:
-            # One leader per bucket; of a document's leaders those that it meets most often.
-            leaders = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("label").alias("l"))).alias("m"))
-            met = own.join(leaders, "key").filter((F.col("label") != F.col("m.l")) & _sizes_allow(F.col("n"), F.col("m.o.n"), spec.percent))
-            counted = met.groupBy(F.least("id", "m.o.id").alias("a"), F.greatest("id", "m.o.id").alias("b"), "id").agg(F.count(F.lit(1)).alias("c"))
-            best = W.partitionBy("id").orderBy(F.desc("c"), "a", "b")
-            pairs = counted.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= spec.leaders).select("a", "b").distinct()
+        last = step == spec.leader_rounds
+        order = F.col("d") if step == 0 or last else F.xxhash64("id", F.lit(step))
+        leaders = own.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("label").alias("label"))).alias("m"))
+        met = own.join(leaders, "key")
+        if last:
+            now = region_links(met.select(F.col("m.id").alias("leader"), F.col("m.label").alias("leading"), "id", "n", "label").distinct(), sets, spec)
         else:
-            other = own.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "label")])
-            met = own.join(other, "key").filter((F.col("label") < F.col("label_2")) & _sizes_allow(F.col("n"), F.col("n_2"), spec.percent))
-            pairs = met.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        now = stored(verified(pairs, sets, spec.percent), "verified")
-        tried = now if tried is None else tried.unionAll(now)
-        labels = stored(connected_components(tried.filter("ok").select("a", "b")), "components")
+            met = met.filter((F.col("label") != F.col("m.label")) & _sizes_allow(F.col("n"), F.col("m.n"), spec.percent))
+            now = verified(met.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b")).distinct(), sets, spec.percent)
+        now = stored(now.filter("ok").select("a", "b"), "verified")
+        links = now if links is None else links.unionAll(now)
+        labels = stored(connected_components(links), "components")
     found = signed.drop("halves").join(firsts, same, "left")
     found = found.join(labels, "id", "left")
     known = F.col("n_shingles") > 0
