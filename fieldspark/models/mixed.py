@@ -128,9 +128,9 @@ def lmm(
         span *= 0.3
     dev, beta, inv, sigma2 = seen[best]
     names_g = [groups[0]] if not nested else [groups[0], f"{groups[1]}:{groups[0]}"]
-    variances = {g: sigma2 * t for g, t in zip(names_g, best)}
+    variances = {g: float(sigma2 * t) for g, t in zip(names_g, best)}
     effects = _group_effects(sums, list(groups), beta, best, p)
-    return MixedFit(names, beta, sigma2 * inv, sigma2, variances, -dev / 2, n, reml, (terms, factors, intercept, list(groups)), effects)
+    return MixedFit(names, beta, sigma2 * inv, float(sigma2), variances, float(-dev / 2), n, reml, (terms, factors, intercept, list(groups)), effects)
 
 
 def _group_effects(sums: DataFrame, groups: list[str], beta: np.ndarray, theta: tuple[float, float], p: int) -> DataFrame:
