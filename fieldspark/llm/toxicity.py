@@ -8,6 +8,7 @@ the share of their words that go with the label is grade 2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ class ToxicitySpec:
 
     features: int = 1 << 17
     prefixes: tuple[int, ...] = (4, 5, 6, 7)
-    training_rows: int = 10_000
+    training_rows: int = 8_000
     least_documents: int = 4
     least_z: float = 2.5
     steps: int = 150
@@ -84,23 +85,22 @@ class OrdinalModel:
         return per_batch(rows, run, "doc_id long, expected_severity double, severity int, toxic int")
 
 
-def grades_from_labels(places: np.ndarray, values: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, spec: ToxicitySpec) -> tuple[np.ndarray, np.ndarray]:
-    """Grades 0 to 2, and for each feature whether it stands out: enough documents, and a log-odds ratio
-    well above its standard error."""
-    rows = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    inside = toxic[rows] == 1
-    in_toxic, in_clean = (np.bincount(places[m], minlength=spec.features) for m in (inside, ~inside))
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    lift = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_clean + 0.5) / (n0 + 1))
+def telling_features(in_toxic: np.ndarray, in_clean: np.ndarray, n1: int, n0: int, spec: ToxicitySpec) -> tuple[np.ndarray, np.ndarray]:
+    """Features that stand out, by how many toxic and clean documents have them, and those that go with toxic ones.
+
+    A feature stands out if enough documents have it and its log-odds ratio is well above its standard error.
+    """
+    lift = np.log((in_toxic + 0.5) / (max(1, n1) + 1)) - np.log((in_clean + 0.5) / (max(1, n0) + 1))
     usable = (in_toxic + in_clean >= spec.least_documents) & (np.abs(lift) >= spec.least_z * np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5)))
-    telling = usable & (lift > 0)
-    sums = np.concatenate([[0.0], np.cumsum(telling[places] * values**2)])
-    all_ = np.concatenate([[0.0], np.cumsum(values**2)])
-    share = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(all_[bounds[1:]] - all_[bounds[:-1]], 1)
+    return usable, usable & (lift > 0)
+
+
+def graded(toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Grades 0 to 2: the toxic documents with more than the median share are grade 2."""
     grades = toxic.astype(np.int64)
     if toxic.any():
         grades[(toxic == 1) & (share > np.median(share[toxic == 1]))] = 2
-    return grades, usable
+    return grades
 
 
 def fit_ordinal(places: np.ndarray, values: np.ndarray, bounds: np.ndarray, grades: np.ndarray, usable: np.ndarray, spec: ToxicitySpec) -> OrdinalModel:
@@ -146,18 +146,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = Toxici
     """
     sample = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & training_share("doc_id"))
     sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(spec.training_rows)
-    # At most training_rows rows, so that the broadcast is bounded.
-    known = columns_apart(docs, ["doc_id", "text"]).join(F.broadcast(stored(sample, "training-sample")), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("o"))
+    # At most training_rows rows, so that the broadcast is bounded; a fixed number of tasks reads their texts.
+    known = columns_apart(docs, ["doc_id", "text"]).join(F.broadcast(stored(sample, "training-sample")), "doc_id")
+    known = stored(known.select("y", "text", F.xxhash64("doc_id").alias("o")).repartition(16, "o"), "training-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros((2, spec.features), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            y = batch.column("y").to_numpy()
+            places, _, bounds = sparse_features(batch.column("text"), spec)
+            of = np.repeat(y, np.diff(bounds))
+            for k in (0, 1):
+                found[k] += np.bincount(places[of == k], minlength=spec.features).astype(np.int32)
+                rows[k] += int((y == k).sum())
+        yield pa.record_batch([pa.array([found.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["c", "n"])
+
+    found, n = np.zeros((2, spec.features), np.int64), np.zeros(2, np.int64)
+    for r in known.select("y", "text").repartition(16).mapInArrow(count, "c binary, n binary").toLocalIterator():
+        found += np.frombuffer(r["c"], np.int32).reshape(2, -1)
+        n += np.frombuffer(r["n"], np.int64)
+    usable, telling = telling_features(found[1], found[0], int(n[1]), int(n[0]), spec)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         places, values, bounds = sparse_features(batch.column("text"), spec)
-        cut = [(places[a:b].astype(np.int32).tobytes(), values[a:b].astype(np.float32).tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pa.record_batch([batch.column("o"), batch.column("y"), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["o", "y", "p", "v"])
-
-    got = sorted(per_batch(known, run, "o long, y int, p binary, v binary").collect(), key=lambda r: (r["o"], r["y"]))
+        cut, share = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            p, v = places[a:b], values[a:b]
+            share.append(float((v[telling[p]] ** 2).sum() / max((v**2).sum(), 1)))
+            keep = usable[p]
+            cut.append((p[keep].astype(np.int32).tobytes(), v[keep].astype(np.float32).tobytes()))
+        columns = [batch.column("o"), batch.column("y"), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary()), pa.array(share, pa.float64())]
+        return pa.record_batch(columns, names=["o", "y", "p", "v", "s"])
+
+    # Only features that stand out come to the driver, of at most training_rows documents.
+    got = sorted(per_batch(known, run, "o long, y int, p binary, v binary, s double").collect(), key=lambda r: (r["o"], r["y"]))
     places = np.frombuffer(b"".join(bytes(r["p"]) for r in got), np.int32).astype(np.int64)
     values = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.float32).astype(np.float64)
     bounds = np.concatenate([[0], np.cumsum([len(r["p"]) // 4 for r in got])]).astype(np.int64)
-    toxic = np.array([r["y"] for r in got], np.int64)
-    grades, usable = grades_from_labels(places, values, bounds, toxic, spec)
+    grades = graded(np.array([r["y"] for r in got], np.int64), np.array([r["s"] for r in got]))
     return fit_ordinal(places, values, bounds, grades, usable, spec)
