@@ -10,8 +10,8 @@ that meets most others (in all tables) leads, and the others are tried against i
 other leaders. Most copies are in one component then. What is left are buckets whose members are in
 several components: everyone who met a leader there is in the leader's region, and two documents of a
 bucket share a region. In a region the documents outside the leader's component are compared with all
-others in cells of bounded blocks, by a product of incidence matrices, and each gives one link per
-component that it joins. So no pair is emitted that is not a link, and no candidate pair is left out.
+others in cells of bounded blocks, by a product of incidence matrices, and a cell gives every two
+components that it joins once. So no pair is emitted that is not a link, and no candidate pair is left out.
 Pairs whose set sizes rule out the similarity are not tried.
 """
 
@@ -111,31 +111,31 @@ def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` for which 100 * intersection >= percent * union on the full sets."""
+    """``x, y``: the labels of the pairs ``a, b, x, y`` for which 100 * intersection >= percent * union on the full sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = np.zeros(batch.num_rows, bool)
         a, b = batch.column("sa"), batch.column("sb")
         for r in range(batch.num_rows):
-            x, y = (np.frombuffer(c[r].as_buffer(), np.uint64) for c in (a, b))
-            both = np.concatenate([x, y])
+            one, two = (np.frombuffer(c[r].as_buffer(), np.uint64) for c in (a, b))
+            both = np.concatenate([one, two])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             ok[r] = 100 * common >= percent * (len(both) - common)
-        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "ok"])
+        return batch.select(["x", "y"]).filter(pa.array(ok))
 
     with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
-    return per_batch(with_sets.select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean")
+    return per_batch(with_sets.select("x", "y", "sa", "sb"), run, "x long, y long")
 
 
-def cell_links(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """For every asking document and other component one link to it, if there is one, from full sets.
+def cell_links(labels: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
+    """The components that a link between full sets joins, as pairs of labels.
 
-    ``ids``: documents of a cell; ``asks``: those that are compared with the ones that do not ask.
+    ``labels``: of the documents of a cell; ``asks``: those that are compared with the ones that do not ask.
     """
     q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
     if not len(q) or not len(c):
-        return []
+        return set()
     # Only shingles on both sides count for an intersection.
     shared = np.intersect1d(np.concatenate([sets[i] for i in q]), np.concatenate([sets[i] for i in c]))
     common = np.zeros((len(q), len(c)), np.float32)
@@ -151,15 +151,13 @@ def cell_links(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets: list
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     both = common.astype(np.int64)
     linked = (100 * both >= percent * (sizes[q][:, None] + sizes[c][None, :] - both)) & (labels[q][:, None] != labels[c][None, :])
-    out = []
-    for r, i in enumerate(q):
-        _, first = np.unique(labels[c[linked[r]]], return_index=True)
-        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[c[linked[r]]][first].tolist()]
-    return out
+    rows, columns = np.nonzero(linked)
+    ends = np.stack([labels[q[rows]], labels[c[columns]]], axis=1)
+    return set(map(tuple, np.unique(np.sort(ends, axis=1), axis=0).tolist()))
 
 
 def region_links(regions: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """``a, b, ok``: links between components in every region ``leader, leading, id, n, label``.
+    """``x, y``: labels of components that links join, in every region ``leader, leading, id, n, label``.
 
     ``leading`` is the leader's component. A region's documents are dealt into blocks; those outside the
     leading component ask all blocks.
@@ -171,23 +169,21 @@ def region_links(regions: DataFrame, sets: DataFrame, spec: NearDuplicates) -> D
     sized = regions.join(sizes.filter((F.col("m") >= least) & (F.col("q") > 0)), "leader").join(sets, "id")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
     block = lambda c: F.pmod(F.xxhash64("id"), blocks(c))
-    rows = ["leader", "id", "label", "hashes"]
+    rows = ["leader", "label", "hashes"]
     asking = sized.filter("label != leading").select(*rows, block("q").cast("int").alias("qb"), every("m").alias("cb"), F.lit(True).alias("asks"))
     others = sized.select(*rows, every("q").alias("qb"), block("m").cast("int").alias("cb"), F.lit(False).alias("asks"))
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, asks, hashes = [], [], [], []
+        labels, asks, hashes = [], [], []
         for b in batches:
-            ids.append(b.column("id").to_numpy())
             labels.append(b.column("label").to_numpy())
             asks.append(b.column("asks").to_numpy(zero_copy_only=False))
             hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
-        found = cell_links(np.concatenate(ids), np.concatenate(labels), np.concatenate(asks), hashes, spec.percent)
+        found = cell_links(np.concatenate(labels), np.concatenate(asks), hashes, spec.percent)
         if found:
-            a, b = zip(*found)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(a))], names=["a", "b", "ok"])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["x", "y"])
 
-    return asking.unionAll(others).groupBy("leader", "qb", "cb").applyInArrow(cell, "a long, b long, ok boolean").distinct()
+    return asking.unionAll(others).groupBy("leader", "qb", "cb").applyInArrow(cell, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -208,9 +204,9 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     tables = table_rows(classes, spec)
     busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     tables = stored(tables.join(busy, "key"), "tables")
-    degrees = tables.groupBy("id").agg(F.sum("c").alias("d"))
+    degrees = stored(tables.groupBy("id").agg(F.sum("c").alias("d")), "degrees")
     tables = tables.drop("c").join(degrees, "id")
-    members = tables.select("id").distinct()
+    members = degrees.select("id")
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
@@ -222,14 +218,12 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     # A repeated id has one set per text; any of them may link.
     sets = stored(per_batch(texts, full_sets, "id long, hashes binary"), "sets")
 
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
+    # Components grow from round to round: links are between labels, and only they are contracted.
+    labels = degrees.select("id", F.col("id").alias("label"))
     left = tables
     for step in range(spec.leader_rounds + 1):
-        if labels is None:
-            own = left.withColumn("label", F.col("id"))
-        else:
-            own = left.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        own = left.join(labels, "id")
+        if step:
             open_keys = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
             own = stored(own.join(open_keys, "key", "left_semi"), "open-buckets")
             left = own.drop("label")
@@ -240,16 +234,17 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
         leaders = own.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("label").alias("label"))).alias("m"))
         met = own.join(leaders, "key")
         if last:
-            now = region_links(met.select(F.col("m.id").alias("leader"), F.col("m.label").alias("leading"), "id", "n", "label").distinct(), sets, spec)
+            links = region_links(met.select(F.col("m.id").alias("leader"), F.col("m.label").alias("leading"), "id", "n", "label").distinct(), sets, spec)
         else:
             met = met.filter((F.col("label") != F.col("m.label")) & _sizes_allow(F.col("n"), F.col("m.n"), spec.percent))
-            now = verified(met.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b")).distinct(), sets, spec.percent)
-        now = stored(now.filter("ok").select("a", "b"), "verified")
-        links = now if links is None else links.unionAll(now)
-        labels = stored(connected_components(links), "components")
+            ends = F.struct(F.col("id").alias("id"), F.col("label").alias("label")), F.struct(F.col("m.id").alias("id"), F.col("m.label").alias("label"))
+            pairs = met.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+            links = verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("x"), F.col("q.label").alias("y")), sets, spec.percent)
+        joined = connected_components(links, "x", "y").withColumnRenamed("id", "label")
+        labels = stored(labels.join(joined, "label", "left").select("id", F.coalesce("component", "label").alias("label")), "components")
     found = signed.drop("halves").join(firsts, same, "left")
     found = found.join(labels, "id", "left")
     known = F.col("n_shingles") > 0
-    component = F.when(F.col("doc_id").isNotNull() & known, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull() & known, F.coalesce("label", "id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
