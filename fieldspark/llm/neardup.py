@@ -94,15 +94,20 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
 
 
 def table_rows(classes: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """``key, id, n``: the table keys of every class whose two halves are shared with another class each."""
+    """``key, id, n, d``: the table keys of every class whose two halves are shared with another class each.
+
+    ``d``: with how many classes its halves are shared, added up.
+    """
     halves = classes.select("id", "n", F.posexplode("halves").alias("i", "half"))
-    common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    left = halves.join(common, "half", "left_semi")
+    common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    left = halves.join(common, "half")
     sides = left.groupBy("id", "n").agg(
-        F.collect_list(F.when(F.col("i") < spec.halves, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("i") >= spec.halves, F.col("half"))).alias("b")
+        F.collect_list(F.when(F.col("i") < spec.halves, F.col("half"))).alias("a"),
+        F.collect_list(F.when(F.col("i") >= spec.halves, F.col("half"))).alias("b"),
+        F.sum("c").alias("d"),
     )
-    rows = sides.select("id", "n", F.explode("a").alias("a"), "b").select("id", "n", "a", F.explode("b").alias("b"))
-    return rows.select(F.xxhash64("a", "b").alias("key"), "id", "n")
+    rows = sides.select("id", "n", "d", F.explode("a").alias("a"), "b").select("id", "n", "d", "a", F.explode("b").alias("b"))
+    return rows.select(F.xxhash64("a", "b").alias("key"), "id", "n", "d")
 
 
 def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
@@ -203,10 +208,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     classes = full.join(firsts.withColumnRenamed("id", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "halves").dropDuplicates(["id", "n"])
     tables = table_rows(classes, spec)
     busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    tables = stored(tables.join(busy, "key"), "tables")
-    degrees = stored(tables.groupBy("id").agg(F.sum("c").alias("d")), "degrees")
-    tables = tables.drop("c").join(degrees, "id")
-    members = degrees.select("id")
+    tables = stored(tables.join(busy, "key", "left_semi"), "tables")
+    members = stored(tables.select("id").distinct(), "members")
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
@@ -219,10 +222,10 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     sets = stored(per_batch(texts, full_sets, "id long, hashes binary"), "sets")
 
     # Components grow from round to round: links are between labels, and only they are contracted.
-    labels = degrees.select("id", F.col("id").alias("label"))
+    labels = members.withColumn("label", F.col("id"))
     left = tables
     for step in range(spec.leader_rounds + 1):
-        own = left.join(labels, "id")
+        own = left.join(labels, "id") if step else left.withColumn("label", F.col("id"))
         if step:
             open_keys = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
             own = stored(own.join(open_keys, "key", "left_semi"), "open-buckets")

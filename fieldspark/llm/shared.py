@@ -16,11 +16,14 @@ BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
+# Operators of many stored steps would fill the disk otherwise: shuffle files go when the step that made them has ended.
+# A DataFrame that is executed again makes them anew.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators count on: adaptive skew handling and small Arrow batches."""
-    for key, value in BATCHES.items():
+    """Set what the operators count on: adaptive skew handling, small Arrow batches, shuffle files removed early."""
+    for key, value in (BATCHES | CLEANUP).items():
         spark.conf.set(key, value)
     return apply_runtime_settings(spark)
 
