@@ -1,8 +1,8 @@
 """License scans with DataFrame operations only: known sentences, then ordered rules over them.
 
-A text is split into sentences, each is normalised, and those that equal a known licence sentence give
-its identifier. A licence is found where its rule, a sequence of identifiers, occurs in a row among the
-identifiers of the document in the order of the text.
+A text is normalised, with marks where sentences end and where they may end, and the known licence
+sentences between two marks give their identifiers. A licence is found where its rule, a sequence of
+identifiers, occurs in a row among the identifiers of the document in the order of the text.
 """
 
 from __future__ import annotations
@@ -52,28 +52,57 @@ RULES = (
     ("MPL-2.0", ("mpl-form",)),
     ("Proprietary", ("reserved",)),
 )
-# Where sentences end: line ends, and closing signs before a blank.
+# Where sentences end if each line is read by itself: line ends, and closing signs before a blank.
 SENTENCE_END = r"[.!?;]+[ \t]+|[\n\r]+"
 NOT_WORD = r"[^a-z0-9]+"
+# Steps from a lower-case text to its marked words. No capitals are left in it, so H marks where a sentence
+# ends (closing signs, lines without words) and S where it may end or go on (line ends, semicolons).
+MARKS = (
+    (r"\r\n?", "\n"),
+    (r"(?<![a-z0-9])v\.(?=[ \t\n]+[0-9])", "v"),
+    (r";*[.!?][.!?;]*(?=[ \t\nH])", "H"),
+    (r"\n[^a-z0-9]*\n", "H"),
+    (r";+(?=[ \t\nH])|\n", "S"),
+    (r"[^a-z0-9HS]+", " "),
+    (r" ?S[ S]*", "S"),
+    (r"[ S]?H[ HS]*", "H"),
+)
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
 
 
+def marked_words(text: Column) -> Column:
+    """Lower-case words with single blanks or marks between them, and marks at both ends."""
+    out = F.concat(F.lit("H"), F.lower(text), F.lit("H"))
+    for pattern, mark in MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """``doc_id, licenses, sentences`` per row: found licences, sorted and comma-joined, and the known
     sentences in text order, comma-joined.
 
+    A sentence may run over single line ends and semicolons, but not over other closing signs before a
+    blank ("v." before a digit is none) or lines without words; of overlapping ones the first, then the
+    longest counts. Rules also hold on the text read line by line, so a one-line form is found even
+    where it begins a longer sentence.
+
     Null and empty texts, and texts without a licence, have empty strings; a known sentence that is part
     of no matching rule is listed but gives no licence. Null and repeated ids are kept, each row by
     itself; other columns are ignored.
     """
     known = F.create_map(*[F.lit(x) for name, text in sentences.items() for x in (text, name)])
+    longest_first = sorted(sentences.values(), key=len, reverse=True)
+    anywhere = "(?<=[HS])(?:" + "|".join(x.replace(" ", "[ S]") for x in longest_first) + ")(?=[HS])"
+    matches = F.regexp_extract_all(marked_words(text_or_empty()), F.lit(anywhere), F.lit(0))
+    names = F.transform(matches, lambda s: F.try_element_at(known, F.translate(s, "S", " ")))
     pieces = F.filter(F.split(text_or_empty(), SENTENCE_END), lambda s: F.length(s) >= min(map(len, sentences.values())))
-    names = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
-    rows = columns_apart(docs, ["doc_id", "text"]).select("doc_id", names.alias("names"))
-    line = F.concat(F.lit(","), F.array_join("names", ","), F.lit(","))
+    by_line = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    rows = columns_apart(docs, ["doc_id", "text"]).select("doc_id", names.alias("names"), by_line.alias("by_line"))
+    line = F.concat(*[x for n in ("names", "by_line") for x in (F.lit(",,"), F.array_join(n, ","), F.lit(",,"))])
     rows = rows.select("doc_id", F.array_join("names", ",").alias("sentences"), line.alias("line"))
     hits = F.array(*[F.when(F.col("line").contains("," + ",".join(seq) + ","), F.lit(license)) for license, seq in rules])
     found = F.array_join(F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))), ",")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -301,6 +302,63 @@ def test_licences(llm):
     assert licenses.license_scan(documents(llm, [])).count() == 0
 
 
+def brute_licences(text):
+    """Sentences in text order, by trying every run of lines and of parts between closing signs, longest first."""
+    blocks, now = [], []
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        words = line.lower().split()
+        if not re.search("[a-z0-9]", line.lower()):
+            now = blocks.append(now) or []
+            continue
+        part = []
+        for word in words:
+            part.append(word)
+            if word[-1] in ".!?;" and not (word == "v." and text.lower().split()[text.lower().split().index("v.") + 1][0].isdigit()):
+                now.append(" ".join(part))
+                part = []
+                if set(word) & set(".!?") & set(word[len(word.rstrip(".!?;")) :]):
+                    now = blocks.append(now) or []
+        if part:
+            now.append(" ".join(part))
+    out = []
+    for block in [*blocks, now]:
+        i = 0
+        while i < len(block):
+            for j in range(len(block), i, -1):
+                said = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in " ".join(block[i:j])).split())
+                name = next((n for n, s in licenses.SENTENCES.items() if s == said), None)
+                if name:
+                    out.append(name)
+                    i = j - 1
+                    break
+            i += 1
+    return ",".join(out)
+
+
+GPL_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+MIT_TEXT = 'The MIT License\n\nCopyright 2020 A. Body\n\nPermission is hereby granted.\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS".'
+BSD_TEXT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Keep this."
+MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+APACHE_HEADER = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/'
+
+
+def test_wrapped_licences_equal_brute_force(llm):
+    heads = {"GPL-3.0": GPL_HEADER, "MIT": MIT_TEXT, "BSD-3-Clause": BSD_TEXT, "MPL-2.0": MPL_NOTICE, "Apache-2.0": APACHE_HEADER}
+    texts, want = [], []
+    for name, head in heads.items():
+        for width in (24, 60, 72, 500):
+            for sign, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n")):
+                lines = [x for part in head.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+                texts.append("A title" + end + end.join(sign + x for x in lines) + "code()")
+                want.append(name)
+    # A line that is a known sentence by itself counts although it begins a longer one.
+    texts += ['Licensed under the Apache License, Version 2.0\n(the "License").', "Licensed under the Apache License,\n\nVersion 2.0", "Released under. The\nMIT License", "HS\nReleased under\nthe MIT License\nHS"]
+    want += ["Apache-2.0", "", "", "MIT"]
+    got = {r["doc_id"]: (r["licenses"], r["sentences"]) for r in licenses.license_scan(documents(llm, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (want[i], brute_licences(t)), repr(t)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_their_sql(llm, sf, name):
     assert compare(QUERIES[name](llm, sf), connect(sf), SQL[name]) is None
