@@ -48,7 +48,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
     prepare(spark)
-    pieces = packing.token_pieces(docs, file_bytes(public_tokenizers.path(TOKENIZER)), end_id=0, tokens=2048)
+    pieces = packing.token_pieces(docs, file_bytes(public_tokenizers.path(TOKENIZER)), end_id=0, tokens=2048, added_tokens=True)
     return packing.pack(pieces, packing.Capacity(2048))
 
 

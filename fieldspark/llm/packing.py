@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pretokens import library_cache
+from .pretokens import added_token_cache, library_cache
 from .shared import columns_apart, per_batch, stored
 from .text import chunks
 
@@ -40,9 +40,12 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
-def encoded_documents(column: pa.Array, definition: bytes, end_id: int | None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, ids, bounds of each document's ids) for runs of documents; null counts as empty."""
-    cache = library_cache(definition)
+def encoded_documents(column: pa.Array, definition: bytes, end_id: int | None, added_tokens: bool = False) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, ids, bounds of each document's ids) for runs of documents; null counts as empty.
+
+    ``added_tokens``: strings of added tokens have their own ids, as by default in the library; else they are text.
+    """
+    cache = added_token_cache(definition) if added_tokens else library_cache(definition)
     for rows, data, ends in chunks(column):
         ids, bounds, *_ = cache.ids_of(data, ends)
         if end_id is not None:
@@ -56,18 +59,19 @@ def cut_lengths(n: int, most: int) -> list[int]:
     return ([n % most] if n % most else []) + [most] * (n // most)
 
 
-def token_pieces(docs: DataFrame, definition: bytes, end_id: int = 0, tokens: int = 2048, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, definition: bytes, end_id: int = 0, tokens: int = 2048, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every document's pieces.
 
     Null texts count as empty and give one piece with the end id. Null and repeated ids are kept; other
-    columns are ignored. ``definition``: a tokenizer file of the tokenizers library.
+    columns are ignored. ``definition``: a tokenizer file of the tokenizers library; ``added_tokens``: as in
+    :func:`encoded_documents`.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc_ids = batch.column("doc_id").to_pylist()
         out: list[list] = [[], [], [], [], [], []]
-        for rows, ids, bounds in encoded_documents(batch.column("text"), definition, end_id):
+        for rows, ids, bounds in encoded_documents(batch.column("text"), definition, end_id, added_tokens):
             for d, a, b in zip(doc_ids[rows], bounds[:-1].tolist(), bounds[1:].tolist()):
                 at = a
                 for k, n in enumerate(cut_lengths(b - a, tokens)):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -200,13 +201,49 @@ def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _tokenizers: dict[bytes, PieceCache] = {}
 
 
+class AddedTokenCache:
+    """A cache that gives added tokens their own ids, as the library does unless told otherwise.
+
+    Texts are cut at the strings of the added tokens; what stands between them goes through the cache.
+    """
+
+    def __init__(self, cache: PieceCache, added: dict[str, int]) -> None:
+        self.cache, self.added = cache, added
+        # Of two that begin at one place the longest is taken.
+        self.any = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(added, key=len, reverse=True)))
+
+    def ids_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a chunk: all ids and their bounds per document."""
+        raw = data.tobytes()
+        hits = list(self.any.finditer(raw)) if self.added else []
+        # A string over the end of a document is none; the next may begin inside it.
+        if any(np.searchsorted(ends, m.start(), "right") != np.searchsorted(ends, m.end(), "left") for m in hits):
+            hits = [m for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()) for m in self.any.finditer(raw, a, b)]
+        if not hits:
+            return self.cache.ids_of(data, ends)[:2]
+        kept = np.ones(len(data), bool)
+        for m in hits:
+            kept[m.start() : m.end()] = False
+        # The parts between hits and document ends are documents of their own to the cache.
+        shift = np.concatenate([[0], np.cumsum(kept)])
+        at = np.array([m.start() for m in hits])
+        cuts = np.concatenate([ends, at])
+        order = np.argsort(cuts, kind="stable")
+        ids, bounds = self.cache.ids_of(data[kept], shift[cuts[order]])[:2]
+        place = np.empty(len(cuts), np.int64)
+        place[order] = bounds
+        before = place[len(ends) :]
+        out = np.insert(ids, before, np.array([self.added[m.group().decode()] for m in hits], ids.dtype))
+        return out, place[: len(ends)] + np.searchsorted(at, ends, "left")
+
+
 def library_cache(definition: bytes) -> PieceCache:
     """A cache in front of the tokenizers library, one per process and tokenizer.
 
     The library's byte-level tokenizers split text by the pattern above and treat each pre-token
     by itself, so the ids of a text are those of its pre-tokens in a row. The library gets the missing
-    pre-tokens as lines of one text: a line end between two signs is a pre-token by itself. Special
-    tokens' strings are ordinary text.
+    pre-tokens as lines of one text: a line end between two signs is a pre-token by itself. Added
+    tokens' strings are ordinary text here, see :func:`added_token_cache`.
     """
     key = hashlib.sha256(definition).digest()
     if key not in _tokenizers:
@@ -241,3 +278,20 @@ def library_cache(definition: bytes) -> PieceCache:
 
         _tokenizers[key] = PieceCache(encode)
     return _tokenizers[key]
+
+
+_added: dict[bytes, AddedTokenCache] = {}
+
+
+def added_token_cache(definition: bytes) -> AddedTokenCache:
+    """Ids as of the library's ``encode(text, add_special_tokens=False)``, one cache per process and tokenizer."""
+    key = hashlib.sha256(definition).digest()
+    if key not in _added:
+        from tokenizers import Tokenizer
+
+        cache = library_cache(definition)
+        tokens = Tokenizer.from_str(definition.decode("utf-8")).get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
+            raise ValueError("added tokens that take blanks, need word ends or are normalized are not supported")
+        _added[key] = AddedTokenCache(cache, {t.content: i for i, t in tokens.items()})
+    return _added[key]

@@ -49,7 +49,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = file_bytes(public_tokenizers.path(TOKENIZER))
-    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), definition, end_id=0, tokens=2048), packing.Capacity(2048))
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), definition, end_id=0, tokens=2048, added_tokens=True), packing.Capacity(2048))
 
 
 @registered()
@@ -95,7 +95,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
-    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, file_bytes(public_tokenizers.path(TOKENIZER)), end_id=2)
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, file_bytes(public_tokenizers.path(TOKENIZER)), end_id=2, added_tokens=True)
     return tokenfiles.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -43,7 +43,7 @@ def id_width(definition: bytes, end_id: int) -> int:
     return 2 if max(Tokenizer.from_str(definition.decode("utf-8")).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, definition: bytes, end_id: int, width: int, documents: int = 1000, most_chars: int = 8000, size: int = 64 << 10) -> bytes:
+def train_dictionary(docs: DataFrame, definition: bytes, end_id: int, width: int, documents: int = 1000, most_chars: int = 8000, size: int = 64 << 10, added_tokens: bool = False) -> bytes:
     """A zstandard dictionary from the serialised ids of a bounded sample of short documents.
 
     The sample has at most ``documents`` texts of 1 to ``most_chars`` characters, those with the smallest
@@ -53,7 +53,7 @@ def train_dictionary(docs: DataFrame, definition: bytes, end_id: int, width: int
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for _, ids, bounds in encoded_documents(batch.column("text"), definition, end_id):
+        for _, ids, bounds in encoded_documents(batch.column("text"), definition, end_id, added_tokens):
             out += [ids[a:b].astype(f"<u{width}").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         return pa.record_batch([pa.array(out, pa.binary())], names=["s"])
 
@@ -70,16 +70,16 @@ def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int, shards: int | None = None, level: int = 3) -> None:
+def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int, shards: int | None = None, level: int = 3, added_tokens: bool = False) -> None:
     """Write all documents in ascending doc_id order (null ids first, repeated ids by text).
 
     A null text counts as empty and holds the end id alone. Other columns are ignored; an empty table
-    gives an empty file set.
+    gives an empty file set. ``added_tokens``: as in :func:`.packing.encoded_documents`.
     """
     spark = docs.sparkSession
     rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = id_width(definition, end_id)
-    data = train_dictionary(rows, definition, end_id, width)
+    data = train_dictionary(rows, definition, end_id, width, added_tokens=added_tokens)
     digest = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(data))], "dictionary_hash string, width int, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shards = min(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_SHARDS)
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, path: str, definition: bytes, end_id: int
 
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
-            for part, ids, bounds in encoded_documents(batch.column("text"), definition, end_id):
+            for part, ids, bounds in encoded_documents(batch.column("text"), definition, end_id, added_tokens):
                 raw = ids.astype(f"<u{width}")
                 for d, a, b in zip(own[part], bounds[:-1].tolist(), bounds[1:].tolist()):
                     frames += pressed.compress(raw[a:b].tobytes())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldspark.llm import bpe, packing, pretokens, tokenfiles, topk
+from fieldspark.llm.queries import QUERIES
 from fieldspark.llm.shared import file_bytes, shared_folder
 from fieldspark.llm.text import chunks
 
@@ -228,3 +229,33 @@ def test_token_files_of_an_empty_table(llm):
     tokenfiles.write_token_files(df, path, DEFINITION, 2)
     got = sorted(tokenfiles.read_token_files(llm, path).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(None, 1), (None, 2), (4, 2), (4, 2)]
+
+
+def test_added_tokens_equal_the_untouched_library(llm):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endo", "ftext|>", " ", "  ", "\n", "'s", "it", "é", " word", "1"]
+    texts = HARD + ["a <|endoftext|> x", "<|endoftext|>", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)]]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sum(50256 in ids for ids in want) > 100
+    for size in (1 << 20, 64):
+        cache, got = pretokens.added_token_cache(DEFINITION), []
+        for _, data, ends in chunks(pa.array(texts), size):
+            ids, bounds = cache.ids_of(data, ends)
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == want
+    # Two documents whose ends together spell the token hold none.
+    halves = pa.array(["x<|endo", "ftext|>y"])
+    assert [ids.tolist() for _, ids, _ in packing.encoded_documents(halves, DEFINITION, None, True)] == [sum((tok.encode(t.as_py(), add_special_tokens=False).ids for t in halves), [])]
+    # The queries ask for it.
+    folder = shared_folder(llm, "added-tokens")
+    documents(llm, texts).write.parquet(f"{folder}/documents.parquet")
+    total = collections.Counter()
+    for r in QUERIES["op2_best_fit_packing"](llm, folder).collect():
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: len(ids) + 1 for i, ids in enumerate(want)}
+    at = 0
+    for r in sorted(QUERIES["op8_token_files"](llm, folder).collect(), key=lambda r: r["doc_id"]):
+        ids = want[r["doc_id"]] + [2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
