@@ -2,15 +2,17 @@
 
 The patterns label credentials by kind. From a bounded sample of them a probabilistic automaton per kind
 is inferred: a prefix tree of the labelled values whose states are merged where their outgoing
-frequencies are statistically compatible. Every other long mixed string of a text is a candidate; it
-becomes a span where some automaton finds it much likelier than a model of all candidates does.
+frequencies are statistically compatible. Every other string of at least the least labelled length over
+the labelled alphabet is a candidate; it becomes a span where some automaton finds it much likelier than a
+model of all candidates does, which is counted over the whole table.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,8 +30,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-DIGIT, CASED = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+# Strings over the alphabet of the labelled values, and what is tried where a whole one is not like them.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+INNER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9])?")
+FRAGMENT = re.compile(r"[A-Za-z0-9+/_-]{8,}={0,2}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -45,16 +49,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of long strings with a digit and a letter, apart from the spans already found."""
+def candidates(text: str, taken: Iterable[tuple[int, int, int, int]]) -> list[list[list[tuple[int, int]]]]:
+    """Every candidate beside the spans already found, as steps of spans to be tried one after another.
+
+    The steps are the whole string, the string without signs at its ends, and its parts between dots and
+    equal signs. All spans have at least 8 characters.
+    """
     busy = sorted((s, e) for s, _, e, _ in taken)
     out, i = [], 0
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        while i < len(busy) and busy[i][1] <= s:
+        at, end = m.span()
+        while i < len(busy) and busy[i][1] <= at:
             i += 1
-        if (i == len(busy) or busy[i][0] >= e) and DIGIT.search(text, s, e) and CASED.search(text, s, e):
-            out.append((s, e))
+        k = i
+        while at < end:
+            while k < len(busy) and busy[k][1] <= at:
+                k += 1
+            stop = min(end, busy[k][0]) if k < len(busy) else end
+            if stop - at >= LEAST_ASSIGN:
+                steps = [[(at, stop)]]
+                inner = INNER.search(text, at, stop)
+                if inner and LEAST_ASSIGN <= inner.end() - inner.start() < stop - at:
+                    steps.append([inner.span()])
+                parts = [p.span() for p in FRAGMENT.finditer(text, at, stop) if [p.span()] not in steps]
+                out.append([*steps, parts] if parts else steps)
+            at = max(stop, busy[k][1]) if k < len(busy) else end
     return out
 
 
@@ -67,6 +86,8 @@ def symbol(c: str) -> str:
     return "A" if "A" <= c <= "Z" else c
 
 
+# Symbols of all characters that a candidate may have.
+CLASSES = {i: symbol(chr(i)) for i in range(128)}
 # Characters in a class, which share its probability.
 CLASS_SIZES = {"9": 10, "f": 6, "z": 20, "A": 26}
 
@@ -193,6 +214,35 @@ def inferred(values: Iterable[str], alpha: float = 0.05, least: int = 10) -> Aut
     return Automaton(ends, out)
 
 
+# Symbols that a state of the background remembers; with 10 symbols, at most 11,111 states and 122,221 counts.
+MEMORY = 4
+
+
+def transitions(classes: str) -> list[str]:
+    """The steps of a string of symbols through the background: up to MEMORY symbols before, and the next one or $.
+
+    ``^`` stands before the first symbol.
+    """
+    marked = f"^{classes}$"
+    return [marked[max(0, i - MEMORY) : i + 1] for i in range(1, len(marked))]
+
+
+def counted(counts: dict[str, int]) -> Automaton:
+    """The automaton of counted :func:`transitions`; no counts: an automaton for any string."""
+    if not counts:
+        return Automaton([math.log(0.02)], [{s: (math.log(0.98 / 5), 0) for s in "9fzA-"}])
+    by_state: dict[str, dict[str, int]] = {"^": {}}
+    for gram, n in sorted(counts.items()):
+        by_state.setdefault(gram[:-1], {})[gram[-1]] = n
+    number = {state: i for i, state in enumerate(by_state)}
+    ends, steps = [], []
+    for state, found in by_state.items():
+        total = sum(found.values()) + 0.1 * (len(found) + 1)
+        ends.append(math.log((found.get("$", 0) + 0.1) / total))
+        steps.append({s: (math.log((n + 0.1) / total), number[(state + s)[-MEMORY:]]) for s, n in found.items() if s != "$"})
+    return Automaton(ends, steps)
+
+
 @dataclass
 class SecretModel:
     """Automata by kind, the model of all candidates, and the least lead of the likelihood over it."""
@@ -209,11 +259,10 @@ class SecretModel:
         return max(fit, key=lambda k: (leads[k], k)) if fit else None
 
 
-def fit_model(labelled: dict[str, list[str]], others: list[str], least_examples: int = 20, margin: float = 0.25) -> SecretModel:
+def fit_model(labelled: dict[str, list[str]], background: Automaton, least_examples: int = 20, margin: float = 0.25) -> SecretModel:
     """Kinds with too few labelled values have no automaton. A kind's least lead is that which 95 of 100
     labelled values reach, and at least ``margin`` per character."""
     automata = {k: inferred(v) for k, v in sorted(labelled.items()) if len(v) >= least_examples}
-    background = inferred(others) if others else Automaton([math.log(0.02)], [{s: (math.log(0.98 / 5), 0) for s in "9fzA-"}])
     least = {}
     for k, a in automata.items():
         leads = sorted(a.log_likelihood(v) - background.log_likelihood(v) for v in labelled[k])
@@ -221,42 +270,79 @@ def fit_model(labelled: dict[str, list[str]], others: list[str], least_examples:
     return SecretModel(automata, background, least)
 
 
-FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, labelled array<string>, c_starts array<int>, c_ends array<int>, candidates array<string>"
+FOUND = "kind int, value string, n long"
+# Strings of symbols that a task remembers at once.
+MOST_KNOWN = 1 << 17
 
 
 def found_strings(docs: DataFrame) -> DataFrame:
-    """The pattern spans of every whole text, and its candidate strings."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(7)]
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            cand = candidates(text, base)
-            row = ([s for s, *_ in base], [k for _, k, *_ in base], [e for _, _, e, _ in base], [text[v:e] for _, _, e, v in base], [s for s, _ in cand], [e for _, e in cand], [text[s:e] for s, e in cand])
-            for x, v in zip(out, row):
-                x.append(v)
-        ints, words = pa.list_(pa.int32()), pa.list_(pa.string())
-        columns = [pa.array(x, t) for x, t in zip(out, (ints, ints, ints, words, ints, ints, words))]
-        return pa.record_batch([batch.column("doc_id"), *columns], names=[x.split()[0] for x in FOUND.split(", ")])
-
-    rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return per_batch(rows, run, FOUND)
+    """The labelled values of all whole texts by kind, and with kind -1 the counted transitions of all candidates."""
+
+    def table_of(rows: list[tuple[int, str, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64()))], names=["kind", "value", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: Counter[str] = Counter()
+        strings: Counter[str] = Counter()
+
+        def add() -> None:
+            for classes, n in strings.items():
+                for gram in transitions(classes):
+                    grams[gram] += n
+            strings.clear()
+
+        for batch in batches:
+            values: Counter[tuple[int, str]] = Counter()
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                values.update((k, text[v:e]) for _, k, e, v in base)
+                strings.update(text[s:e].translate(CLASSES) for steps in candidates(text, base) for step in steps for s, e in step)
+                if len(strings) > MOST_KNOWN:
+                    add()
+            if values:
+                yield table_of([(k, v, n) for (k, v), n in values.items()])
+        add()
+        if grams:
+            yield table_of([(-1, gram, n) for gram, n in grams.items()])
+
+    return columns_apart(docs, ["text"]).mapInArrow(run, FOUND)
 
 
 def infer_formats(found: DataFrame, examples: int = 400, longest: int = 80) -> SecretModel:
     """Automata from at most ``examples`` labelled values per kind, the distinct ones with the smallest hashes.
 
-    Values longer than ``longest`` are no examples, but are scored like all others.
+    Values longer than ``longest`` are no examples, but are scored like all others. The background has the
+    counts of all candidates.
     """
 
-    def sample(rows: DataFrame) -> list[str]:
-        rows = rows.filter(F.length("v").between(8, longest)).distinct()
-        return [r[0] for r in rows.orderBy(F.xxhash64("v"), "v").limit(examples).collect()]
+    def sample(kind: int) -> list[str]:
+        rows = found.filter((F.col("kind") == kind) & F.length("value").between(8, longest)).select("value").distinct()
+        return [r[0] for r in rows.orderBy(F.xxhash64("value"), "value").limit(examples).collect()]
+
+    counts = found.filter("kind = -1").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    return fit_model({name: sample(i) for i, name in enumerate(KINDS)}, counted({r["value"]: r["n"] for r in counts}))
 
-    flat = found.select(F.explode(F.arrays_zip("kinds", "labelled")).alias("x")).select(F.col("x.kinds").alias("k"), F.col("x.labelled").alias("v"))
-    labelled = {name: sample(flat.filter(F.col("k") == i).select("v")) for i, name in enumerate(KINDS)}
-    return fit_model(labelled, sample(found.select(F.explode("candidates").alias("v"))))
+
+def inferred_spans(text: str, base: list[tuple[int, int, int, int]], model: SecretModel, known: dict[str, str | None]) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the candidates like labelled values; of each, the first step that has any."""
+    out = []
+    for steps in candidates(text, base):
+        for step in steps:
+            hits = []
+            for s, e in step:
+                classes = text[s:e].translate(CLASSES)
+                if classes not in known:
+                    if len(known) >= MOST_KNOWN:
+                        known.clear()
+                    # The likelihood depends on the symbols alone.
+                    known[classes] = model.kind_of(text[s:e])
+                if known[classes] is not None:
+                    hits.append((s, known[classes], e))
+            if hits:
+                out += hits
+                break
+    return out
 
 
 def secret_spans(docs: DataFrame, examples: int = 400) -> DataFrame:
@@ -266,26 +352,22 @@ def secret_spans(docs: DataFrame, examples: int = 400) -> DataFrame:
     kind of the automaton and overlap none of them. A null text counts as empty and has no spans; null and
     repeated ids are kept, other columns are ignored.
     """
-    found = stored(found_strings(docs), "secret-strings")
-    model = infer_formats(found, examples)
+    rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = infer_formats(stored(found_strings(rows), "secret-strings"), examples)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
-        out = []
-        c = {n: batch.column(n).to_pylist() for n in ("starts", "kinds", "ends", "c_starts", "c_ends", "candidates")}
-        for starts, kinds, ends, c_starts, c_ends, values in zip(*c.values()):
-            spans = [(s, k, e, False) for s, k, e in zip(starts, kinds, ends)]
-            for s, e, v in zip(c_starts, c_ends, values):
-                if v not in known:
-                    known[v] = model.kind_of(v)
-                if known[v] is not None:
-                    spans.append((s, KINDS.index(known[v]), e, True))
-            out.append([{"kind": KINDS[k], "start": s, "end": e, "inferred": i} for s, k, e, i in sorted(spans)])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("inferred", pa.bool_())]))
-        return pa.record_batch([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text or "")
+                spans = [(s, k, e, False) for s, k, e, _ in base]
+                spans += [(s, KINDS.index(k), e, True) for s, k, e in inferred_spans(text or "", base, model, known)]
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "inferred": i} for s, k, e, i in sorted(spans)])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    slim = found.select("doc_id", "starts", "kinds", "ends", "c_starts", "c_ends", "candidates")
-    return per_batch(slim, run, "doc_id long, spans array<struct<kind:string,start:int,end:int,inferred:boolean>>")
+    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,inferred:boolean>>")
 
 
 def joined(spans: Column) -> Column:
@@ -301,13 +383,15 @@ def redacted(docs: DataFrame, examples: int = 400, mask: str = "[SECRET]") -> Da
     """
     model = infer_formats(stored(found_strings(docs), "secret-strings"), examples)
 
+    known: dict[str, str | None] = {}
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, sizes = [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text) if text else []
             spans = [(s, e) for s, _, e, _ in base]
             if text:
-                spans += [(s, e) for s, e in candidates(text, base) if model.kind_of(text[s:e]) is not None]
+                spans += [(s, e) for s, _, e in inferred_spans(text, base, model, known)]
             parts, at = [], 0
             for s, e in sorted(spans):
                 if e > at:

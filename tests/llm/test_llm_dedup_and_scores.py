@@ -190,6 +190,34 @@ def test_secret_spans(llm):
     assert secrets.secret_spans(documents(llm, [])).count() == 0
 
 
+def test_every_string_of_the_labelled_alphabet_is_a_candidate():
+    text = "hunter2x letmeinnow 1234567890 short7c (ab.cd.efgh=) " + "f" * 32 + "Zq8.rest-of-it"
+    whole = [text[s:e] for steps in secrets.candidates(text, secrets.base_spans(text)) for s, e in steps[0]]
+    assert whole == ["hunter2x", "letmeinnow", "1234567890", "ab.cd.efgh=", "Zq8.rest-of-it"]
+    assert [[text[s:e] for s, e in step] for step in secrets.candidates(text, [])[3]] == [["ab.cd.efgh="], ["ab.cd.efgh"]]
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["a1b2c3d4", "AKIA" + "A" * 12, "0f" * 16, ".", "=", " ", "secret=", "xyz"]) for _ in range(12))
+        base = secrets.base_spans(t)
+        free = "".join(" " if any(s <= i < e for s, _, e, _ in base) else c for i, c in enumerate(t))
+        want = [m.span() for m in re.finditer("[A-Za-z0-9+/_.=-]+", free) if len(m[0]) >= 8]
+        assert [steps[0][0] for steps in secrets.candidates(t, base)] == want
+
+
+def test_short_and_dotted_secrets_are_inferred(llm):
+    rng = random.Random(12)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    short = lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1) + some("0123456789", 9)
+    words = [some("abcdefghijklmnopqrstuvwxyz", rng.randint(2, 12)) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(40))
+    texts = [f"{prose()} password={short()} {prose()}" for _ in range(200)] + [f"{prose()} {short()} {prose()}" for _ in range(30)] + [f"{prose()}." for _ in range(100)]
+    got = {r["doc_id"]: [s for s in r["spans"] if s["inferred"]] for r in secrets.secret_spans(documents(llm, texts)).collect()}
+    assert sum(len(got[i]) == 1 and texts[i][got[i][0]["start"] : got[i][0]["end"]][1:].isdigit() for i in range(200, 230)) >= 27
+    assert not any(got[i] for i in range(230, 330))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(documents(llm, texts)).collect()}
+    assert all(("[SECRET]" in clean[i]) == bool(got[i]) for i in range(200, 330))
+
+
 def test_automaton_merges_states_and_tells_formats_apart():
     rng = random.Random(2)
     some = ["".join(rng.choice("0123456789") for _ in range(rng.randint(8, 20))) for _ in range(300)]
