@@ -150,10 +150,11 @@ def inferred(values: Iterable[str], alpha: float = 0.05, least: int = 10) -> Aut
 
     steps: list[dict[str, int]] = [{s: passed[c] for s, c in kids.items()} for kids in children]
 
-    def compatible(a: int, b: int, depth: int = 12) -> bool:
-        todo = [(a, b, depth)]
+    def compatible(a: int, b: int) -> bool:
+        # To the end of the tree: b's side is one, whatever has been merged on the side of a.
+        todo = [(a, b)]
         while todo:
-            x, y, d = todo.pop()
+            x, y = todo.pop()
             x, y = root(x), root(y)
             n, m = passed[x], passed[y]
             if x == y or not n or not m:
@@ -164,8 +165,8 @@ def inferred(values: Iterable[str], alpha: float = 0.05, least: int = 10) -> Aut
             for s in children[x].keys() | children[y].keys():
                 if abs(steps[x].get(s, 0) / n - steps[y].get(s, 0) / m) > bound:
                     return False
-                if d and s in children[x] and s in children[y]:
-                    todo.append((children[x][s], children[y][s], d - 1))
+                if s in children[x] and s in children[y]:
+                    todo.append((children[x][s], children[y][s]))
         return True
 
     def fold(a: int, b: int) -> None:

@@ -218,6 +218,28 @@ def test_short_and_dotted_secrets_are_inferred(llm):
     assert all(("[SECRET]" in clean[i]) == bool(got[i]) for i in range(200, 330))
 
 
+def test_background_counts_all_candidates(llm):
+    texts = secret_texts()
+    want = {}
+    for t in texts:
+        for steps in secrets.candidates(t or "", secrets.base_spans(t or "")):
+            for s, e in (x for step in steps for x in step):
+                line = "^" + "".join(map(secrets.symbol, t[s:e])) + "$"
+                for i in range(1, len(line)):
+                    gram = line[max(0, i - 4) : i + 1]
+                    want[gram] = want.get(gram, 0) + 1
+    found = secrets.found_strings(documents(llm, texts).repartition(5)).filter("kind = -1").groupBy("value").agg(F.sum("n").alias("n"))
+    assert {r["value"]: r["n"] for r in found.collect()} == want
+    model = secrets.counted(want)
+    assert all(abs(sum(np.exp(p) for p, _ in steps.values()) + np.exp(end) - 1) < 0.6 for end, steps in zip(model.ends, model.steps))
+
+
+def test_formats_of_one_class_keep_their_length():
+    rng = random.Random(5)
+    a = secrets.inferred(["".join(rng.choice("0123456789") for _ in range(20)) for _ in range(300)])
+    assert a.log_likelihood("1" * 20) > a.log_likelihood("1" * 19) + 0.1 and a.log_likelihood("1" * 20) > a.log_likelihood("1" * 30) + 0.1
+
+
 def test_automaton_merges_states_and_tells_formats_apart():
     rng = random.Random(2)
     some = ["".join(rng.choice("0123456789") for _ in range(rng.randint(8, 20))) for _ in range(300)]
