@@ -341,6 +341,10 @@ def test_toxicity(llm):
     assert toxicity.fit_toxicity(documents(llm, []), none).score(documents(llm, [])).count() == 0
 
 
+def test_toxicity_is_fitted_on_ten_thousand_rows():
+    assert toxicity.ToxicitySpec().training_rows == 10_000
+
+
 def test_licences(llm):
     mit = "The MIT License. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     texts = [None, "", "no licence", "x.\nLicensed under CC BY-NC 4.0.", "Released under the MIT License.\nReleased under the MIT License.", mit, mit.replace("License. ", "License. All rights reserved! "), "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0."]
