@@ -98,10 +98,10 @@ def table_rows(classes: DataFrame, spec: NearDuplicates) -> DataFrame:
 
     ``d``: with how many classes its halves are shared, added up.
     """
-    halves = classes.select("id", "n", F.posexplode("halves").alias("i", "half"))
+    halves = classes.select("id", "n", "set_a", "set_b", F.posexplode("halves").alias("i", "half"))
     common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     left = halves.join(common, "half")
-    sides = left.groupBy("id", "n").agg(
+    sides = left.groupBy("id", "n", "set_a", "set_b").agg(
         F.collect_list(F.when(F.col("i") < spec.halves, F.col("half"))).alias("a"),
         F.collect_list(F.when(F.col("i") >= spec.halves, F.col("half"))).alias("b"),
         F.sum("c").alias("d"),
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set_a", "set_b"]
     firsts = full.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    classes = full.join(firsts.withColumnRenamed("id", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "halves").dropDuplicates(["id", "n"])
+    # A repeated id may have several sets of one size; each keeps its keys.
+    classes = full.join(firsts.withColumnRenamed("id", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set_a", "set_b", "halves").dropDuplicates(["id", "n", "set_a", "set_b"])
     tables = table_rows(classes, spec)
     busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     tables = stored(tables.join(busy, "key", "left_semi"), "tables")

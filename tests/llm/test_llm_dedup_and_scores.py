@@ -149,6 +149,14 @@ def test_components(llm):
     assert connected_components(llm.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_rows_of_one_id_and_equal_set_size_all_link(llm):
+    lines = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"]
+    rows = [(1, x) for x in lines] + [(10 + i, x + " end") for i, x in enumerate(lines)] + [(99, "nothing like the others at all")]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df, neardup.NearDuplicates(words=4, percent=80)).collect()
+    assert len(got) == 13 and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (99, 99), *((10 + i, 1) for i in range(6))}
+
+
 def plain_base(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
