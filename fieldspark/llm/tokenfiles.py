@@ -46,10 +46,13 @@ def id_width(definition: bytes, end_id: int) -> int:
 def train_dictionary(docs: DataFrame, definition: bytes, end_id: int, width: int, documents: int = 1000, most_chars: int = 8000, size: int = 64 << 10, added_tokens: bool = False) -> bytes:
     """A zstandard dictionary from the serialised ids of a bounded sample of short documents.
 
-    The sample has at most ``documents`` texts of 1 to ``most_chars`` characters, those with the smallest
+    The sample has at most ``documents`` distinct texts of 1 to ``most_chars`` characters, those with the smallest
     hashes. With too few of them to train on, the dictionary is empty and frames stand alone.
     """
-    sample = docs.filter(F.length("text").between(1, most_chars)).select("text").orderBy(F.xxhash64("text")).limit(documents)
+    short = docs.filter(F.length("text").between(1, most_chars)).select("text", F.xxhash64("text").alias("h"))
+    # Hashes are made distinct, not texts: only the chosen texts are shuffled.
+    chosen = short.select("h").distinct().orderBy("h").limit(documents)
+    sample = short.join(F.broadcast(chosen), "h", "left_semi").distinct().orderBy("h", "text").select("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

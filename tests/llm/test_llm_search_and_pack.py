@@ -259,3 +259,13 @@ def test_added_tokens_equal_the_untouched_library(llm):
         ids = want[r["doc_id"]] + [2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_dictionary_of_copies_is_that_of_distinct_texts(llm):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1", "of the"]) for _ in range(80)) for _ in range(120)]
+    once = documents(llm, texts)
+    first = once.orderBy(F.xxhash64("text")).first()["text"]
+    copies = documents(llm, texts + [first] * 500)
+    made = [tokenfiles.train_dictionary(d, DEFINITION, 2, 2, documents=60) for d in (once, copies)]
+    assert made[0] and made[0] == made[1]
