@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, licenses, neardup, packing, quality, secrets, tokenfiles, topk, toxicity
+from . import bpe, chat, exactdup, lexical, licenses, neardup, packing, quality, secrets, spelling, tokenfiles, topk, toxicity
 from .shared import file_bytes, prepare, shared_folder, table
 from .words import training_share
 
@@ -130,3 +130,109 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks), ranks)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@registered(rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWERED.format("text")}, '{TERM}') AS terms FROM documents WHERE text IS NOT NULL),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED.format("text")}, '{TERM}')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+tf AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY k, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, n_docs),
+impact AS (
+  SELECT k, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * n_docs) // n_terms))) AS impact
+  FROM tf JOIN w USING (term) JOIN d USING (k), corpus),
+scored AS (SELECT item_id, k, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, k),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS n, doc_id, score
+  FROM scored JOIN d USING (k) WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM ranked WHERE n <= 10
+""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: One more conversation, whose texts are control strings; both turns say the same.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@registered(rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL}', NULL), (-1, 1, 'assistant', '{CONTROL}', NULL)),
+e AS (
+  SELECT *, length(replace(replace(replace(role, '\', '\b'), '<|', '<\p|'), chr(10), '\n'))
+    + length(replace(replace(text, '\', '\b'), '<|', '<\p|')) + length('<|im_start|><|im_end|>') + 2 AS formatted FROM c),
+g AS (
+  SELECT conv_id, lone, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(formatted) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id, lone)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""")
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(CONTROL).alias("text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    chats = chat.format_chats(turns.unionByName(more))
+    read = chat.read_chats(chats, keep=("formatted",))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+# The hash of SQL: a byte at a time over a table of 256 remainders, made by the rule of the polynomial.
+_CRC = """
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+
+@registered(rf"""
+WITH {_CRC.strip()},
+runs AS (
+  SELECT doc_id, {LOWERED.format("run")} AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, c, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(
+    list_transform(range(-1, CAST(length(x) / 2 AS BIGINT)), lambda i: CASE WHEN i < 0 THEN 4294967295 ELSE CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) END),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) END AS h
+  FROM (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs), crc),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n, arg_min(other, (-other_n, other)) AS form FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN form END AS form, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+way AS (
+  WITH RECURSIVE f AS (
+    SELECT word, word AS root, 0 AS step FROM forms
+    UNION ALL SELECT f.word, g.form, step + 1 FROM f JOIN forms g ON f.root = g.word AND g.form IS NOT NULL)
+  SELECT word, arg_max(root, step) AS root FROM f GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN way USING (word)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
