@@ -48,12 +48,31 @@ class NearDuplicates:
     block: int = 256
 
 
-def document_sets(column: pa.Array, words: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, sorted distinct shingle hashes, bounds per document) for runs of documents."""
+#: An element of a set: two independent hashes of its words, 128 bits together.
+SHINGLE = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def single_numbers(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of :data:`SHINGLE` as sets of numbers, equal where both hashes are: the first ones, if no two elements share only that."""
+    whole = np.concatenate(sets)
+    order = np.argsort(whole["a"], kind="stable")
+    a, b = whole["a"][order], whole["b"][order]
+    if not ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        return [s["a"] for s in sets]
+    order = np.lexsort((whole["b"], whole["a"]))
+    both = whole[order]
+    numbers = np.empty(len(whole), np.uint64)
+    numbers[order] = np.concatenate([[0], np.cumsum(both[1:] != both[:-1])])
+    return [np.sort(x) for x in np.split(numbers, np.cumsum([len(s) for s in sets])[:-1])]
+
+
+def document_sets(column: pa.Array, words: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sorted distinct shingle hashes, second hashes beside them, bounds per document) for runs of documents."""
     with np.errstate(over="ignore"):
         for rows, data, ends in chunks(column):
-            found, bounds, _ = blank_separated(data, ends)
-            yield rows, *distinct_per_document(*shingles(found, bounds, words))
+            first, second, bounds = blank_separated(data, ends)
+            hashes, own_bounds = shingles(first, bounds, words)
+            yield rows, *distinct_per_document(hashes, shingles(second, bounds, words)[0], own_bounds)
 
 
 def minhash_keys(hashes: np.ndarray, bounds: np.ndarray, halves: int, rows: int) -> np.ndarray:
@@ -79,8 +98,8 @@ def signatures(docs: DataFrame, spec: NearDuplicates) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, a, b, keys = [], [], [], []
         with np.errstate(over="ignore"):
-            for _, hashes, bounds in document_sets(batch.column("text"), spec.words):
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
+            for _, hashes, second, bounds in document_sets(batch.column("text"), spec.words):
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(h ^ np.uint64(s)), dtype=np.uint64)]) for s, h in ((1, hashes), (2, second))]
                 sizes.append(np.diff(bounds))
                 for x, s in zip((a, b), sums):
                     x.append(s[bounds[1:]] - s[bounds[:-1]])
@@ -122,8 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ok = np.zeros(batch.num_rows, bool)
         a, b = batch.column("sa"), batch.column("sb")
         for r in range(batch.num_rows):
-            one, two = (np.frombuffer(c[r].as_buffer(), np.uint64) for c in (a, b))
-            both = np.concatenate([one, two])
+            both = np.concatenate(single_numbers([np.frombuffer(c[r].as_buffer(), SHINGLE) for c in (a, b)]))
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             ok[r] = 100 * common >= percent * (len(both) - common)
@@ -183,8 +201,8 @@ def region_links(regions: DataFrame, sets: DataFrame, spec: NearDuplicates) -> D
         for b in batches:
             labels.append(b.column("label").to_numpy())
             asks.append(b.column("asks").to_numpy(zero_copy_only=False))
-            hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("hashes")]
-        found = cell_links(np.concatenate(labels), np.concatenate(asks), hashes, spec.percent)
+            hashes += [np.frombuffer(x.as_buffer(), SHINGLE) for x in b.column("hashes")]
+        found = cell_links(np.concatenate(labels), np.concatenate(asks), single_numbers(hashes), spec.percent)
         if found:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["x", "y"])
 
@@ -214,8 +232,10 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
-        for _, hashes, bounds in document_sets(batch.column("text"), spec.words):
-            out += [hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+        for _, hashes, second, bounds in document_sets(batch.column("text"), spec.words):
+            whole = np.empty(len(hashes), SHINGLE)
+            whole["a"], whole["b"] = hashes, second
+            out += [whole[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
         return pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["id", "hashes"])
 
     texts = rows.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")

@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .text import BYTE_CODES, prefix_hashes, span_hashes
+from .text import byte_windows, mixed, span_word
 
 # Classes of code points.
 LETTER, NUMBER, BLANK, SPACE, OTHER, SHORT, LONG = range(7)
@@ -134,34 +134,41 @@ def pretoken_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of pre-tokens, looked up by a 64-bit hash of their bytes in a table of fixed size.
+    """Ids of pre-tokens, kept by their bytes in a table of fixed size.
 
-    A pre-token has one place in the table; a new one there replaces the old. Those that the table
-    does not hold are encoded once per chunk. Two different pre-tokens would have to agree in all 64
-    bits, and in the place, to be taken for each other.
+    A pre-token of up to 16 bytes has one place in the table, where its bytes and its length stand; a new one
+    there replaces the old. A longer one is kept in a dictionary, which is emptied when it is full. Those that neither holds are
+    encoded once per chunk. Ids are only ever taken from a pre-token with the same bytes.
     """
 
-    def __init__(self, encode_missing: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 20, most: int = 6) -> None:
-        self.encode_missing, self.most = encode_missing, most
+    def __init__(self, encode_missing: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 20, most: int = 6, most_long: int = 1 << 16) -> None:
+        self.encode_missing, self.most, self.most_long = encode_missing, most, most_long
         self.mask = np.uint64(slots - 1)
-        self.hashes = np.zeros(slots, np.uint64)
+        # Bytes 0 to 7 and 8 to 15 as numbers, and the length (0: nothing here).
+        self.low, self.high, self.lengths = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.uint8)
         self.sizes = np.zeros(slots, np.uint8)
         self.ids = np.zeros((slots, most), np.uint32)
+        self.long: dict[bytes, np.ndarray] = {}
 
     def ids_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For a chunk: all ids, their bounds per document, starts of the slices, their bounds per document, ids per slice."""
         starts = pretoken_starts(data, ends)
         stops = np.append(starts[1:], len(data))[: len(starts)]
-        h = span_hashes(prefix_hashes(BYTE_CODES[data]), starts, stops)
-        slot = (h & self.mask).astype(np.int64)
-        missing = np.flatnonzero((self.hashes[slot] != h) | (self.sizes[slot] == 0))
+        n = stops - starts
+        windows = byte_windows(data)
+        low, high = (span_word(windows, starts, n, k) for k in range(2))
+        with np.errstate(over="ignore"):
+            slot = (mixed(low ^ mixed(high + n.astype(np.uint64))) & self.mask).astype(np.int64)
+        # No place has a length above 16, so that longer ones are never held here.
+        missing = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high) | (self.lengths[slot] != n))
         sizes = self.sizes[slot].astype(np.int64)
         new_ids = np.zeros(0, np.uint32)
         if len(missing):
-            _, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
-            some = missing[first]
             raw = data.tobytes()
-            flat, counts = self.encode_missing([raw[a:b] for a, b in zip(starts[some].tolist(), stops[some].tolist())])
+            which_of: dict[bytes, int] = {}
+            which = np.fromiter((which_of.setdefault(raw[x:y], len(which_of)) for x, y in zip(starts[missing].tolist(), stops[missing].tolist())), np.int64, len(missing))
+            pieces = list(which_of)
+            flat, counts = self._encoded(pieces)
             offsets = np.concatenate([[0], np.cumsum(counts)])
             sizes[missing] = counts[which]
             new_ids = flat[gathered(offsets[:-1][which], counts[which])]
@@ -178,19 +185,41 @@ class PieceCache:
             ids[bounds[held] + k] = self.ids[slot[held], k]
         if len(missing):
             ids[gathered(bounds[missing], sizes[missing])] = new_ids
-            keep = np.flatnonzero((counts <= self.most) & (counts > 0))
-            place = slot[some[keep]]
-            # Of several for one place the last is written; only that one counts as held.
-            self.hashes[place] = h[some[keep]]
-            mine = self.hashes[place] == h[some[keep]]
-            keep, place = keep[mine], place[mine]
-            self.sizes[place] = counts[keep]
+            first = np.empty(len(pieces), np.int64)
+            first[which[::-1]] = missing[::-1]
+            keep = np.flatnonzero((counts <= self.most) & (counts > 0) & (n[first] <= 16))
+            # Of several for one place the last is written, in every column.
+            at, place = first[keep], slot[first[keep]]
+            self.low[place], self.high[place], self.lengths[place], self.sizes[place] = low[at], high[at], n[at], counts[keep]
             for k in range(self.most):
                 has = counts[keep] > k
                 self.ids[place[has], k] = flat[offsets[keep[has]] + k]
         slice_bounds = np.searchsorted(starts, ends)
         return ids, bounds[slice_bounds], starts, slice_bounds, sizes
 
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after another, and how many each has; long ones from the dictionary where it has them."""
+        new = [i for i, p in enumerate(pieces) if p not in self.long]
+        flat, counts = self.encode_missing([pieces[i] for i in new])
+        if len(new) == len(pieces):
+            runs = None
+        else:
+            runs = [self.long.get(p) for p in pieces]
+        ends = np.cumsum(counts).tolist()
+        for i, stop, count in zip(new, ends, counts.tolist()):
+            own = flat[stop - count : stop]
+            if runs is not None:
+                runs[i] = own
+            if len(pieces[i]) > 16:
+                if len(self.long) >= self.most_long:
+                    self.long.clear()
+                # Very long ones would make the dictionary's size depend on the texts.
+                if len(pieces[i]) <= 256:
+                    self.long[pieces[i]] = own.copy()
+        if runs is None:
+            return flat, counts
+        return np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+
 
 def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every run, one run after another."""

@@ -6,6 +6,7 @@ their ends. All functions work on such chunks; a document is never split between
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,12 +108,56 @@ def lower_codes() -> np.ndarray:
 LOWER_CODES = lower_codes()
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] = LOWER_BYTES[97:123]
+# Numbers of k bytes, by k.
+BYTE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+# 8-byte words of a span that are hashed side by side; longer spans are digested one by one.
+LONG_WORDS = 32
+
+
+def byte_windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)).copy()
+
+
+def span_word(windows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 8 bytes of every span as a number, without what stands after the span."""
+    return windows[np.minimum(starts + 8 * k, len(windows) - 1)] & BYTE_MASKS[np.clip(lengths - 8 * k, 0, 8)]
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span's bytes, 128 bits together.
+
+    The bytes go in eight at a time and are mixed before the next eight, so that no rule of the text's
+    makes two spans meet, as it can where the hash is a sum of products; spans of up to 8 bytes and one length have
+    different first hashes always. Spans above 256 bytes have a cryptographic digest.
+    """
+    lengths = stops - starts
+    windows = byte_windows(data)
+    size = lengths.astype(np.uint64)
+    a, b = mixed(size * ODD + np.uint64(1)), mixed(size * ODD + np.uint64(2))
+    some, k = np.flatnonzero(lengths <= 8 * LONG_WORDS), 0
+    while len(some):
+        word = span_word(windows, starts[some], lengths[some], k)
+        if len(some) == len(a):
+            a, b = mixed(a ^ word), mixed(b * ODD + word)
+        else:
+            a[some], b[some] = mixed(a[some] ^ word), mixed(b[some] * ODD + word)
+        k += 1
+        some = some[lengths[some] > 8 * k]
+    for i in np.flatnonzero(lengths > 8 * LONG_WORDS).tolist():
+        digest = hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=16).digest()
+        a[i], b[i] = np.frombuffer(digest, np.uint64)
+    return a, b
 
 
 def blank_separated(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words between ASCII blanks, and per document where its words begin."""
+    """Two hashes of each of the lower-cased words between ASCII blanks, and per document where its words begin."""
     starts, stops = spans(~BLANK[data], ends)
-    return span_hashes(prefix_hashes(LOWER_CODES[data]), starts, stops), np.searchsorted(starts, ends), starts
+    return *span_keys(LOWER_BYTES[data], starts, stops), np.searchsorted(starts, ends)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +182,22 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return mixed(out), out_bounds
 
 
-def distinct_per_document(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each document, with their bounds."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-    sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+def distinct_per_document(hashes: np.ndarray, second: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each document, sorted by the first, with the second beside it, and their bounds."""
+    parts = []
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        a, b = hashes[x:y], second[x:y]
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+        same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+        if (same & other).any():
+            # Two that share only the first hash: equal ones stand side by side only after a sort by both.
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+        kept = np.ones(len(a), bool)
+        kept[1:] = ~same | other
+        parts.append((a[kept], b[kept]))
+    sizes = np.fromiter((len(a) for a, _ in parts), np.int64, len(parts))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *[a for a, _ in parts]]), np.concatenate([none, *[b for _, b in parts]]), np.concatenate([[0], np.cumsum(sizes)])
