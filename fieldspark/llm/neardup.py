@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     signed = stored(signatures(rows, spec), "signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "set_a", "set_b"]
-    firsts = full.groupBy(*same).agg(F.min("doc_id").alias("id"))
+    # Stored, so that the join that carries it back to all rows is one of two plain tables, which is split where a set is hot.
+    firsts = stored(full.groupBy(*same).agg(F.min("doc_id").alias("id")), "firsts")
     # A repeated id may have several sets of one size; each keeps its keys.
     classes = full.join(firsts.withColumnRenamed("id", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set_a", "set_b", "halves").dropDuplicates(["id", "n", "set_a", "set_b"])
     tables = table_rows(classes, spec)
