@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from .shared import columns_apart, stored, text_or_empty
 
@@ -55,14 +56,26 @@ def distinct_documents(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
     The grouping is that of :func:`exact_groups`, and the survivor's row travels with it. A null text
     equals an empty one; a row with a null id survives only where its text has no other. Of rows that
-    share text and id one survives.
+    share text and id one survives: that of the smallest hash of its other columns, of which maps and variants take no
+    part. Columns of any name and type stay as they are; an empty table gives an empty result.
     """
-    others = [c for c in docs.columns if c != "text"]
-    ordered = ["doc_id", *[c for c in others if c != "doc_id"]]
-    pick = F.max if keep == "largest" else F.min
+    best = F.max_by if keep == "largest" else F.min_by
     first = F.col("doc_id").isNull() if keep == "smallest" else F.col("doc_id").isNotNull()
     text = text_or_empty()
-    rows = docs.select(F.unhex(F.md5(text)).alias("__h"), text.alias("__t"), F.struct(first, F.struct(*ordered), "text").alias("__row"))
-    best = rows.groupBy("__h", "__t").agg(pick("__row").alias("__row"))
-    inner, whole = best.schema["__row"].dataType.names[1:]
-    return best.select(*[F.col("__row")[whole].alias(c) if c == "text" else F.col("__row")[inner][c].alias(c) for c in docs.columns])
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and _hashable(f.dataType)]
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    # The larger hash is the smaller one's complement, so that either side takes the same row.
+    tie = F.xxhash64(*hashed) if keep == "smallest" else F.bitwise_not(F.xxhash64(*hashed))
+    order = F.struct(first.alias("f"), F.col("doc_id").alias("i"), tie.alias("h"))
+    rows = docs.select(F.unhex(F.md5(text)).alias("h"), text.alias("t"), whole.alias("r"), order.alias("o"))
+    groups = rows.groupBy("h", "t").agg(best("r", "o").alias("r"))
+    return groups.select(*[F.col("r")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _hashable(kind: DataType) -> bool:
+    """Whether Spark hashes values of this type."""
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType))

@@ -9,13 +9,13 @@ temperature on rows that the fit has not seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import columns_apart, per_batch, stored
@@ -188,17 +188,27 @@ class QualityModel:
     network: Network
     spec: QualitySpec
 
-    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """``keep`` columns and ``score``, from the text alone; a null text counts as empty."""
+    def probability(self) -> Callable[[Column], Column]:
+        """A column function: the score of a text column, from the text alone; a null text counts as empty."""
         vectors, network, spec = self.vectors, self.network, self.spec
-        rows = columns_apart(docs, [*dict.fromkeys([*keep, "text"])])
-        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = network.probabilities(pooled(batch.column("text"), vectors, spec))
-            return pa.record_batch([*[batch.column(c) for c in keep], pa.array(p)], names=[*keep, "score"])
+        def run(text: pa.Array) -> pa.Array:
+            return pa.array(network.probabilities(pooled(text, vectors, spec)))
+
+        return F.arrow_udf(run, "double")
+
+    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """``keep`` columns and ``score``, one row per row of ``docs``; other columns, whatever their names, take no part.
+
+        Null and repeated ids are kept, texts of any length are read whole, and an empty table gives an empty result.
+        """
+        if "score" in keep:
+            raise ValueError("a kept column cannot have the name of the result")
+        return columns_apart(docs, [*dict.fromkeys([*keep, "text"])]).select(*[f"`{c}`" for c in keep], self.probability()("text").alias("score"))
 
-        return per_batch(rows, run, f"{fields}, score double")
+    def accepted(self, docs: DataFrame, least: float = 0.5) -> DataFrame:
+        """The rows of ``docs``, all their columns, whose score is at least ``least``. Columns of any name and type stay as they are."""
+        return docs.filter(self.probability()(F.col("text")) >= least)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), label: str = "quality") -> QualityModel:

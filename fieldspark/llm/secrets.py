@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .shared import columns_apart, per_batch, stored
 
@@ -380,29 +381,30 @@ def joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, examples: int = 400, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of :func:`secret_spans` replaced by ``mask``; all rows and columns stay.
 
-    Of spans that overlap, the union is replaced once. ``n_chars``, where there is one, counts the new text.
+    Of spans that overlap, the union is replaced once. Null texts stay null, empty ones empty, and whole texts of any
+    length are read. ``n_chars``, where there is one that is a number, counts the new text; other columns, of
+    any name and type, stay as they are. An empty table gives an empty result.
     """
     model = infer_formats(stored(found_strings(docs), "secret-strings"), examples)
 
     known: dict[str, str | None] = {}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, sizes = [], []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text) if text else []
-            spans = [(s, e) for s, _, e, _ in base]
-            if text:
-                spans += [(s, e) for s, _, e in inferred_spans(text, base, model, known)]
-            parts, at = [], 0
-            for s, e in sorted(spans):
-                if e > at:
-                    if s >= at:
-                        parts += [text[at:s], mask]
-                    at = e
-            out.append("".join([*parts, text[at:]]) if spans else text)
-            sizes.append(len(out[-1] or ""))
-        new = {"text": pa.array(out, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-        return pa.record_batch([new[n].cast(batch.column(n).type) if n in new else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return per_batch(docs, run, schema)
+    def masked(text: str) -> str:
+        base = base_spans(text)
+        spans = [(s, e) for s, _, e, _ in base] + [(s, e) for s, _, e in inferred_spans(text, base, model, known)]
+        parts, at = [], 0
+        for s, e in sorted(spans):
+            if e > at:
+                if s >= at:
+                    parts += [text[at:s], mask]
+                at = e
+        return "".join([*parts, text[at:]]) if spans else text
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([masked(t) if t else t for t in column.to_pylist()], pa.string())
+
+    new = {"text": F.arrow_udf(run, "string")(F.col("text"))}
+    out = docs.withColumns(new)
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, NumericType):
+        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return out
