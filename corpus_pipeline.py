@@ -18,35 +18,48 @@ from fieldspark.llm.shared import file_bytes, prepare, stored, table
 ORACLE_SQL = None
 
 
+# All stages keep extra columns of any name and type (of names that differ only in case, Spark itself takes none), read
+# whole texts of any length, and give an empty result for an empty table. Null texts count as empty.
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
+    """Documents whose quality score is at least 0.5. Empty texts are scored as all others; repeated rows are judged each."""
     prepare(spark)
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, keep=tuple(docs.columns)).filter("score >= 0.5").drop("score")
+    return quality.fit_quality(docs, table(spark, sf_dir, "labels")).accepted(docs, 0.5)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id."""
+    """Of documents with equal texts the one with the largest id.
+
+    A row without an id stays only where its text has no other; null and empty texts are equal. Of rows with equal
+    texts and ids one stays.
+    """
     prepare(spark)
     return exactdup.distinct_documents(docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect the one with the smallest id."""
+    """Of documents that near-duplicate links connect the one with the smallest id.
+
+    Null and empty texts and rows without an id stay. Rows that share an id go or stay together.
+    """
     prepare(spark)
     # Filtering the dropped ids, not joining the kept ones: rows without an id stay.
     dropped = neardup.near_duplicates(docs, neardup.NearDuplicates(words=5, percent=80)).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; null and empty texts and repeated rows stay as they are."""
     prepare(spark)
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
+    """Where each piece of each document stands in the training sequences.
+
+    Every row is packed, also with a null or repeated id; a null or empty text is its end id alone. Extra columns end here.
+    """
     prepare(spark)
     pieces = packing.token_pieces(docs, file_bytes(public_tokenizers.path(TOKENIZER)), end_id=0, tokens=2048, added_tokens=True)
     return packing.pack(pieces, packing.Capacity(2048))
