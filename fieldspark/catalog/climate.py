@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import CELLS, DAILY, LOGGER, SITE_NAMES, cells, daily, logger, r, rsql, table
@@ -12,7 +14,9 @@ from ..plans import climate as C
 from ..plans import loggers as L
 from ..plans import microclimate as MC
 from ..plans import moisture as MO
+from ..session import ensure_checkpoint_dir
 from ..sources.dictionaries import TURF_ALIASES, dictionaries
+from ..streaming.hourly import hourly_state, latest_hours, read_arriving, write_changes
 from .registry import query
 
 # ---- logger quality control -------------------------------------------------------------------
@@ -192,3 +196,25 @@ def daily_anomaly_sign(spark, d):
     return out.select("siteID", "date", r("tAnom").alias("tAnom"), if_else(F.col("tAnom") > 0, "red", "blue").alias("sign"))
 
 
+# ---- streams ----------------------------------------------------------------------------------
+
+
+@query("A12 C12", f"""WITH {LOGGER}, c AS (
+  SELECT siteID, CASE WHEN hour(date) BETWEEN 10 AND 18 THEN 'day' WHEN hour(date) IN (19, 20, 7, 8, 9) THEN 'spinup' ELSE 'night' END AS TOD, date_trunc('hour', date) AS start, value FROM logger)
+SELECT siteID, TOD, start, count(*) AS n, {rsql("CASE WHEN count(*) = count(value) THEN avg(value) END")} AS value FROM c GROUP BY ALL""")
+def streamed_hourly_means(spark, d):
+    """Readings arrive in four files; the stream is stopped after two and started again."""
+    from ..functions.dates import time_of_day
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    readings = logger(spark, d).select("siteID", F.col("date").cast("timestamp").alias("date"), "value")
+    classes = {"TOD": time_of_day(F.hour("date"))}
+    schema = None
+    for part in (0, 1):
+        readings.filter(F.pmod(F.xxhash64("date", "siteID"), F.lit(2)) == part).repartition(2).write.mode("append").parquet(f"{root}/in")
+        # Files come in any order of time here, so that no reading may count as late.
+        hours = hourly_state(read_arriving(spark, f"{root}/in", readings.schema, 1), ["siteID"], delay="100 years", classes=classes)
+        schema = hours.schema
+        write_changes(hours, f"{root}/out", f"{root}/state").awaitTermination()
+    out = latest_hours(spark, f"{root}/out", schema, ["siteID", "TOD", "start"])
+    return out.withColumn("value", r("value"))

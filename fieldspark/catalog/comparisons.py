@@ -12,11 +12,15 @@ from ..functions.dates import season
 from ..operators import distributions as DI
 from ..operators import grouping as G
 from ..operators import ordered as O
+from ..operators import sketches as SK
 from ..operators.dissimilarity import dissimilarity
+from ..operators.intervals import in_any_window
 from ..operators.joins import (
     adjacent, anomaly_vs, baseline_delta, fill_from_alternative, paired_delta, r_join, within_deployment,
 )
+from ..operators.neighbours import nearest_samplings
 from ..operators.quantiles import box_stats, quantiles
+from ..session import cut_lineage
 from ..sources.dictionaries import SITE_FALLBACK, dictionaries
 from .registry import query
 
@@ -394,3 +398,65 @@ def community_dissimilarity(spark, d):
     return out.withColumns({"bray": r("bray"), "jaccard": r("jaccard")})
 
 
+SAMPLINGS = """samplings AS (
+  SELECT l_suppkey AS blockID, CAST(year(l_shipdate) AS INTEGER) AS Year, l_partkey AS species, CAST(sum(l_quantity) AS DOUBLE) AS cover
+  FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0)"""
+
+
+@query("D3", f"""WITH {SAMPLINGS}, t AS (SELECT blockID, Year, sum(cover) AS total FROM samplings GROUP BY ALL),
+m AS (SELECT a.blockID, a.Year, b.blockID AS near_blockID, b.Year AS near_Year, sum(least(a.cover, b.cover)) AS shared
+  FROM samplings a JOIN samplings b ON a.species = b.species AND (a.blockID <> b.blockID OR a.Year <> b.Year) GROUP BY ALL),
+x AS (SELECT m.*, 2 * shared / (t.total + z.total) AS sim FROM m JOIN t ON m.blockID = t.blockID AND m.Year = t.Year JOIN t z ON m.near_blockID = z.blockID AND m.near_Year = z.Year),
+k AS (SELECT *, row_number() OVER (PARTITION BY blockID, Year ORDER BY sim DESC, near_blockID, near_Year) AS rank FROM x)
+SELECT blockID, Year, CAST(rank AS INTEGER) AS rank, near_blockID, near_Year, {rsql("1 - sim")} AS bray, {rsql("2 * (1 - sim) / (2 - sim)")} AS jaccard FROM k WHERE rank <= 5""")
+def nearest_communities(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("blockID"), F.year("l_shipdate").alias("Year"), F.col("l_partkey").alias("species"), F.col("l_quantity").alias("cover"))
+    out = nearest_samplings(rows, ["blockID", "Year"], 5)
+    return out.withColumns({"bray": r("bray"), "jaccard": r("jaccard")})
+
+
+WINDOWS = """windows AS (
+  SELECT user_id AS ID, CASE WHEN event_id % 97 <> 0 THEN ts END AS opened, CASE WHEN event_id % 89 <> 0 THEN ts + INTERVAL 12 HOUR END AS closed
+  FROM events WHERE event_type = 'purchase')"""
+
+
+@query("J14", f"""WITH {LOGGER}, {WINDOWS} SELECT ID, logger, count(*) AS n, min(date) AS first, max(date) AS last FROM logger l
+WHERE EXISTS (SELECT 1 FROM windows w WHERE w.ID = l.ID AND (opened IS NULL OR date >= opened) AND (closed IS NULL OR date <= closed)) GROUP BY ID, logger""")
+def readings_in_any_window(spark, d):
+    ts = F.col("ts")
+    windows = table(spark, d, "events").filter("event_type = 'purchase'").select(
+        F.col("user_id").alias("ID"),
+        F.when(F.col("event_id") % 97 != 0, ts).alias("opened"),
+        F.when(F.col("event_id") % 89 != 0, ts + F.expr("INTERVAL 12 HOURS")).alias("closed"),
+    )
+    out = in_any_window(logger(spark, d), windows, ["ID"], "date", "opened", "closed")
+    return out.groupBy("ID", "logger").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+# ---- stored sketches --------------------------------------------------------------------------
+
+_PROBS = (0.05, 0.5, 0.95)
+
+
+@query("A18 S12", f"""WITH {LOGGER} SELECT siteID, CAST(p.prob AS DOUBLE) AS prob, count(value) AS n, true AS within FROM logger, (VALUES {", ".join(f"({p})" for p in _PROBS)}) AS p(prob)
+WHERE value IS NOT NULL GROUP BY ALL""")
+def quantiles_of_merged_days(spark, d):
+    """Daily sketches are stored; the sites' quantiles come from them, and their ranks among all readings are within the bound."""
+    readings = logger(spark, d).select("siteID", F.to_date("date").alias("day"), "value")
+    days = cut_lineage(SK.quantile_sketches(readings, ["siteID", "day"], "value"))
+    found = SK.sketch_quantiles(SK.merged_sketches(days, ["siteID"]), _PROBS)
+    ranked = r_join(readings.filter("value IS NOT NULL"), found, ["siteID"], "inner").groupBy("siteID", "prob", "n").agg(
+        F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("upto")
+    )
+    error = SK.rank_error()
+    return ranked.select("siteID", "prob", "n", ((F.col("below") <= F.col("prob") + error) & (F.col("upto") >= F.col("prob") - error)).alias("within"))
+
+
+@query("A3 J5", f"""WITH {COMMUNITY}, f AS (SELECT DISTINCT blockID, species FROM community WHERE Year <= 1995), s AS (SELECT DISTINCT blockID, species FROM community WHERE Year > 1995)
+SELECT blockID, count(f.species) AS n_first, count(s.species) AS n_second, count(*) FILTER (f.species IS NOT NULL AND s.species IS NOT NULL) AS n_both,
+  count(*) FILTER (f.species IS NULL) AS n_gained, count(*) FILTER (s.species IS NULL) AS n_lost, count(*) AS n_either
+FROM f FULL JOIN s USING (blockID, species) GROUP BY blockID""")
+def species_sets_of_merged_years(spark, d):
+    """Sets of species are stored by block and year; unions of years, and what two periods share, come from them."""
+    years = cut_lineage(SK.set_sketches(community(spark, d), ["blockID", "Year"], "species"))
+    return SK.compared_sets(years, ["blockID"], {"first": F.col("Year") <= 1995, "second": F.col("Year") > 1995})

@@ -9,8 +9,11 @@ from ..models import draws as DR
 from ..models import ordination as OR
 from ..models.design import model_matrix
 from ..models.glm import fit_by, glm
+from ..models.grouped_glm import glm_by
+from ..models.grouped_mixed import lmm_groups
 from ..models.least_squares import ols, poly_trend, trend
 from ..models.mixed import lmm
+from ..models.qr import ols_qr
 from ..models.report import relabel_terms, report_table, term_class, term_group
 from ..models.tidy import coefficients, glance_ols, linear_predictor, predict, scenarios, tidy, with_limits
 from ..operators.grouping import scale
@@ -64,6 +67,22 @@ def polynomial_trends(spark, d):
     return poly_trend(cells(spark, d), ["Treatment"], "cover", "Year", 2)
 
 
+@query("M3 M1", f"""WITH {CELLS}, c AS (SELECT Treatment, Year, CAST(cover AS DOUBLE) AS y, Year - avg(Year) OVER (PARTITION BY Treatment) AS d FROM cells),
+e AS (SELECT *, d * d - avg(d * d) OVER (PARTITION BY Treatment) AS e FROM c),
+m AS (SELECT Treatment, count(*) AS n, avg(y) AS y0, sum(d * d) AS dd, sum(d * e) AS de, sum(e * e) AS ee, sum(d * y) AS dy, sum(e * y) AS ey FROM e GROUP BY Treatment),
+b AS (SELECT *, (dy * ee - ey * de) / (dd * ee - de * de) AS b1, (ey * dd - dy * de) / (dd * ee - de * de) AS b2 FROM m)
+SELECT e.Treatment, e.Year, {rsql("y0 + b1 * d + b2 * e", 4)} AS fitted, {rsql("b2", 6)} AS curvature, n FROM (SELECT DISTINCT Treatment, Year, d, e FROM e) e JOIN b ON e.Treatment = b.Treatment""")
+def raw_year_polynomials(spark, d):
+    """Second-degree trends in the raw year; the SQL centres the years, which these fits do not need."""
+    c = cells(spark, d).withColumn("Year2", F.col("Year").cast("double") * F.col("Year"))
+    fit = ols_qr(c, "cover", ["Year", "Year2"], by=["Treatment"])
+    of = lambda t: F.max(F.when(F.col("term") == t, F.col("estimate"))).alias(t)
+    wide = fit.groupBy("Treatment", "n").agg(*[of(t) for t in ("Intercept", "Year", "Year2")]).withColumnsRenamed({"Year": "b1", "Year2": "b2"})
+    years = r_join(c.select("Treatment", "Year").distinct(), wide, "Treatment", "inner")
+    x = F.col("Year").cast("double")
+    return years.select("Treatment", "Year", r(F.col("Intercept") + F.col("b1") * x + F.col("b2") * x * x, 4).alias("fitted"), r("b2", 6).alias("curvature"), "n")
+
+
 # ---- mixed and generalised models -------------------------------------------------------------
 
 
@@ -116,6 +135,42 @@ def model_per_trait(spark, d):
     return fit_by(long, "trait", spec)
 
 
+_SATURATED = """WITH v AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS Year, l_returnflag AS t, x.trait AS trait, x.value AS y
+  FROM (SELECT *, unnest([{'trait': 'count', 'value': CAST(l_linenumber AS DOUBLE)}, {'trait': 'cover', 'value': l_quantity}, {'trait': 'share', 'value': CAST(l_discount > 0.05 AS DOUBLE)}]) AS x FROM lineitem)),
+g AS (
+  SELECT Year, trait, t, avg(y) AS m, CAST(count(*) AS DOUBLE) AS n, sum(y * y) - sum(y) * avg(y) AS rss,
+    sum(CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END) - CASE WHEN avg(y) > 0 THEN sum(y) * ln(avg(y)) ELSE 0 END AS pois, CASE WHEN avg(y) > 0 AND avg(y) < 1 THEN count(*) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))) ELSE 0 END AS bin
+  FROM v GROUP BY Year, trait, t),
+s AS (SELECT Year, trait, CAST(sum(n) AS BIGINT) AS n, sum(rss) AS rss, CASE trait WHEN 'count' THEN 2 * sum(pois) WHEN 'cover' THEN sum(rss) ELSE -2 * sum(bin) END AS deviance FROM g GROUP BY Year, trait),
+e AS (
+  SELECT Year, trait, t, CASE trait WHEN 'count' THEN ln(m) WHEN 'cover' THEN m ELSE ln(m / (1 - m)) END AS l,
+    CASE trait WHEN 'count' THEN 1 / (n * m) WHEN 'cover' THEN 1 / n ELSE 1 / (n * m * (1 - m)) END AS v FROM g)
+"""
+
+
+@query("M7 M8", _SATURATED + f"""
+SELECT e.Year, e.trait, CASE e.t WHEN 'A' THEN 'Intercept' ELSE 'Treatment_' || e.t END AS term, {rsql("CASE e.t WHEN 'A' THEN e.l ELSE e.l - a.l END")} AS estimate,
+  {rsql("sqrt((CASE e.t WHEN 'A' THEN e.v ELSE e.v + a.v END) * CASE e.trait WHEN 'cover' THEN rss / (s.n - 3) ELSE 1 END)")} AS std_error, s.n, {rsql("deviance", 3)} AS deviance
+FROM e JOIN e a ON a.Year = e.Year AND a.trait = e.trait AND a.t = 'A' JOIN s ON s.Year = e.Year AND s.trait = e.trait""")
+def families_by_year_and_trait(spark, d):
+    li = table(spark, d, "lineitem").select(
+        F.year("l_shipdate").alias("Year"), F.col("l_returnflag").alias("Treatment"), F.col("l_linenumber").cast("double").alias("count"), F.col("l_quantity").alias("cover"), (F.col("l_discount") > 0.05).cast("double").alias("share")
+    )
+    long = gather(li, ["count", "cover", "share"], "trait", "value")
+    family = F.when(F.col("trait") == "count", "poisson").when(F.col("trait") == "cover", "gaussian").otherwise("binomial")
+    fits = glm_by(long, ["Year", "trait"], "value", ["Treatment"], family, {"Treatment": ["A", "N", "R"]})
+    return fits.select("Year", "trait", "term", r("estimate").alias("estimate"), r("std_error").alias("std_error"), "n", r("deviance", 3).alias("deviance"))
+
+
+@query("M4 M8 C24")
+def mixed_models_by_trait(spark, d):
+    c, _ = scale(r_join(cells(spark, d), weather(spark, d), "siteID"), ["tempLevel", "Year"], sd=False)
+    values = ["cover", "maxTemp", "n"]
+    long = gather(c.select("siteID", "blockID", "Treatment", "stempLevel", "sYear", *[F.col(v).cast("double").alias(v) for v in values]), values, "trait", "value")
+    return lmm_groups(long, ["trait"], "value", ["Treatment", "stempLevel", "sYear", "Treatment:stempLevel"], ["siteID", "blockID"], TREATMENTS)
+
+
 _TERMS = "'Treatment' || CASE l_returnflag WHEN 'A' THEN 'FB' WHEN 'N' THEN 'GB' ELSE 'GF' END || CASE WHEN l_linenumber < 3 THEN ':sTemp70' WHEN l_linenumber < 5 THEN ':sTemp70:sPrecip70' ELSE '' END"
 _SHORT = "CASE l_returnflag WHEN 'A' THEN 'G' WHEN 'N' THEN 'F' ELSE 'B' END || CASE WHEN l_linenumber < 3 THEN ' x t' WHEN l_linenumber < 5 THEN ' x t x P' ELSE '' END"
 

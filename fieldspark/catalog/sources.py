@@ -15,6 +15,7 @@ from ..sources import loggers as L
 from ..sources.delimited import decimal_comma, read_delim, read_parts
 from ..sources.dictionaries import SITES, dictionaries
 from ..sources.grid import grid_subset
+from ..sources.log_files import channel_readings, scan_log_lines, two_column_readings
 from ..sources.tables import load, load_tables, save, write_result_csv
 from .registry import query
 
@@ -180,3 +181,37 @@ def grid_cube_subset(spark, d):
     )
     cut = grid_subset(cube, (1.5, 6.5, 0.5, 4.5), 50.0, "1900-01-01")
     return cut.groupBy("lon", "lat", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def _event_files(spark, d):
+    """Events as logger files: one folder per user, of the multi-channel kind for even users, else of the two-channel kind."""
+    number = lambda c: F.replace(F.format_string("%.2f", c), F.lit("."), F.lit(","))
+    ev = table(spark, d, "events").withColumn("even", F.col("user_id") % 2 == 0)
+    second = F.when(F.col("event_type") == "error", "#-INF").otherwise(number(F.col("value") * 2))
+    multi = F.concat_ws("\t", F.date_format("ts", "dd.MM.yyyy HH:mm"), number(F.col("value")), second)
+    two = F.concat_ws("\t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), number(F.col("value")))
+    body = ev.select("user_id", F.col("event_id").alias("n"), F.when(F.col("even"), multi).otherwise(two).alias("line"))
+    depth = F.when(F.col("user_id") % 4 == 1, "30 cm").otherwise("200 cm")
+    header = F.when(
+        F.col("even"), F.array(F.lit("Label\tTemp-30cm\tUVB"), F.lit("Unit\tC\tmV"))
+    ).otherwise(F.array(F.lit("Version 1"), F.lit("Serial\t1239"), F.lit("Site\tVeskre"), F.concat(F.lit("Depth\t"), depth), F.lit(""), F.lit("Sample")))
+    heads = ev.select("user_id", "even").distinct().select("user_id", F.posexplode(header).alias("n", "line")).withColumn("n", F.col("n") - 100)
+    rows = body.unionByName(heads).withColumn("folder", F.concat(F.lit("Ves "), "user_id")).drop("user_id")
+    root = _scratch(spark, "loggers")
+    rows.repartition("folder").sortWithinPartitions("folder", "n").select("folder", "line").write.partitionBy("folder").option("lineSep", "\n").text(root)
+    return root
+
+
+@query("S3 S6 S7", f"""WITH x AS (
+  SELECT user_id AS ID, 'ITAS' AS type, date_trunc('minute', ts) AS date, c.logger AS logger, c.value AS value
+  FROM (SELECT *, unnest([{{'logger': 'temp30cm', 'value': {rsql("value", 2)}}}, {{'logger': 'uvb', 'value': CASE WHEN event_type <> 'error' THEN {rsql("value * 2", 2)} END}}]) AS c FROM events WHERE user_id % 2 = 0)
+  UNION ALL
+  SELECT user_id, 'UTL', date_trunc('second', ts), CASE WHEN user_id % 4 = 1 THEN 'temp30cm' ELSE 'temp200cm' END, {rsql("value", 2)} FROM events WHERE user_id % 2 = 1)
+SELECT ID, type, logger, count(*) AS n, count(value) AS n_value, {rsql("sum(value)", 2)} AS total, min(date) AS first, max(date) AS last FROM x GROUP BY ALL""")
+def scan_logger_files(spark, d):
+    lines = scan_log_lines(spark, _event_files(spark, d), include=("txt",), encoding="ISO-8859-1")
+    multi, two = channel_readings(lines).withColumn("type", F.lit("ITAS")), two_column_readings(lines).withColumn("type", F.lit("UTL")).drop("site")
+    readings = multi.unionByName(two).withColumn("ID", F.regexp_extract("path", r"folder=Ves (\d+)/", 1).cast("long"))
+    return readings.groupBy("ID", "type", "logger").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"), r(F.sum("value"), 2).alias("total"), F.min("date").alias("first"), F.max("date").alias("last")
+    )

@@ -152,7 +152,8 @@ def _next(r: dict, p: int, tolerance: float) -> dict:
         raise ArithmeticError("the first step of a fit has no finite sums")
     out["deviance"], out["cov"], out["before"], out["settled"] = now, inv.ravel(), beta, settled
     out["rank"] = int(np.linalg.matrix_rank(scaled, hermitian=True))
-    out["beta"] = beta if settled else beta + step
+    # The last step is taken too: it is small, and what is left after it is smaller by its square.
+    out["beta"] = beta + step
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import r_mean, weighted_mean
 from ..functions.missing import ColumnLike, as_col, case_when, if_else, is_in, ratio
 from ..models.envelope import quantile_envelope
-from ..operators.grouping import annual_then_mean, hourly_mean, subtract_min
+from ..operators.grouping import annual_then_mean
 from ..operators.joins import fill_from_alternative, r_join
 from ..operators.reshape import complete
 from ..operators.sets import substitute_rows
@@ -62,6 +62,18 @@ def clean_radiation(
     return out.distinct()
 
 
+def hourly_above_minimum(radiation: DataFrame) -> DataFrame:
+    """Mean by site, hour and day of readings above their logger's minimum: ``site, hour, day, value``.
+
+    The readings are added up by logger and hour first, and moved once, as sums; the minimum is taken off these few rows.
+    """
+    rows = radiation.filter(F.col("value").isNotNull()).select("logger", "site", F.hour("date").alias("hour"), F.to_date("date").alias("day"), F.col("value").cast("double").alias("value"))
+    parts = cut_lineage(rows.groupBy("logger", "site", "hour", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("least")))
+    least = parts.groupBy("logger", "site").agg(F.min("least").alias("least"))
+    above = r_join(parts.drop("least"), least, ["logger", "site"], "inner")
+    return above.groupBy("site", "hour", "day").agg((F.sum(F.col("total") - F.col("n") * F.col("least")) / F.sum("n")).alias("value"))
+
+
 def sunniness_index(
     radiation: DataFrame,
     sites: Sequence[str] | None = None,
@@ -77,8 +89,7 @@ def sunniness_index(
     to it, weighted by it. Gaps are completed, then filled from the fallback site and from
     substituted sites.
     """
-    above = subtract_min(radiation, ["logger", "site"], "value")
-    hourly = hourly_mean(above, ["site"], "date", "value", na_rm=True)
+    hourly = hourly_above_minimum(radiation)
     fitted = quantile_envelope(hourly, ["site", "hour"], "day", "value", tau, df)
     daily = (
         fitted.withColumn("prop", ratio("value", "fitted"))

@@ -14,6 +14,7 @@ from ..functions.text import digits_only
 from ..operators.grouping import attach
 from ..operators.joins import adjacent, r_join
 from ..operators.ordered import sampling_index
+from ..session import cut_lineage
 
 PLOT = ["siteID", "blockID", "Treatment", "turfID", "species", "Year"]
 
@@ -115,6 +116,8 @@ def impute_missing_cover(df: DataFrame, exclude_treatments: Sequence[str] = ("XC
     candidate (b) the mean of the species at the site in that year. (b) goes before (a), and (a)
     before the recorded value; rows that stay without a cover are dropped.
     """
+    # Read five times below.
+    df = cut_lineage(df)
     gap = F.col("presence").isNotNull() & F.col("cover").isNull()
     missing = df.filter(gap).select(*PLOT).distinct()
     # Neighbouring years come from the short list of samplings, so the covers are only probed.
