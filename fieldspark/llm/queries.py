@@ -100,22 +100,59 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
+    """The rule of :func:`licenses.license_scan` with recursions: marks, runs of parts, the first and longest of them, rules in order."""
     names = ", ".join(f"('{name}', '{text}')" for name, text in licenses.SENTENCES.items())
-    rules = ", ".join(f"('{x}', ',{','.join(seq)},')" for x, seq in licenses.RULES)
+    rules = ", ".join(f"({i}, '{x}', ',{',,'.join(seq)},')" for i, (x, seq) in enumerate(licenses.RULES, 1))
+    marked = "'H' || lower(coalesce(text, '')) || 'H'"
+    # The patterns of the marks, with what follows them taken along.
+    for pattern, mark in (
+        (r"\r\n?", r"\n"),
+        (r"(^|[^a-z0-9])v\.((?:[ \t\n]+|[ \t]*\n[^a-z0-9\n]*)[0-9])", r"\1v\2"),
+        (r";*[.!?][.!?;]*([ \t\nH])", r"H\1"),
+        (r"\n[^a-z0-9]*\n", "H"),
+        (r";+([ \t\nH])", r"S\1"),
+        (r"\n", "S"),
+        (r"[^a-z0-9HS]+", " "),
+        (r" ?S[ S]*", "S"),
+        (r"[ S]?H[ HS]*", "H"),
+    ):
+        mark = "chr(10)" if mark == r"\n" else f"'{mark}'"
+        marked = f"regexp_replace({marked}, '{pattern}', {mark}, 'g')"
     return f"""
-WITH known(name, sentence) AS (VALUES {names}),
-rules(license, seq) AS (VALUES {rules}),
+WITH RECURSIVE known(name, sentence) AS (VALUES {names}),
+rules(rule, license, seq) AS (VALUES {rules}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+hard AS (
+  SELECT k, generate_subscripts(parts, 1) AS block, unnest(parts) AS part
+  FROM (SELECT k, string_split({marked}, 'H') AS parts FROM docs WHERE text IS NOT NULL)),
+soft AS MATERIALIZED (
+  SELECT k, block, generate_subscripts(parts, 1) AS i, unnest(parts) AS part
+  FROM (SELECT k, block, string_split(part, 'S') AS parts FROM hard)),
+-- Runs of parts, as long as they begin a known sentence.
+runs AS (
+  SELECT k, block, i, i AS j, part AS run FROM soft WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence || ' ', part || ' '))
+  UNION ALL
+  SELECT r.k, r.block, r.i, s.i, run || ' ' || part FROM runs r JOIN soft s ON s.k = r.k AND s.block = r.block AND s.i = r.j + 1
+  WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence || ' ', run || ' ' || part || ' '))),
+hits AS MATERIALIZED (SELECT k, block, i, max(j) AS j, arg_max(name, j) AS name FROM runs JOIN known ON run = sentence GROUP BY k, block, i),
+-- Of those that overlap the first: a part is free if no taken run reaches it.
+taken AS (
+  SELECT k, block, i, j, name FROM (SELECT *, row_number() OVER (PARTITION BY k, block ORDER BY i) AS n FROM hits) WHERE n = 1
+  UNION ALL
+  SELECT k, block, i, j, name FROM (
+    SELECT h.*, row_number() OVER (PARTITION BY h.k, h.block ORDER BY h.i) AS n FROM taken t JOIN hits h ON h.k = t.k AND h.block = t.block AND h.i > t.j) WHERE n = 1),
+lines AS (SELECT k, string_agg(name, ',' ORDER BY block, i) AS sentences, string_agg(name, ',,' ORDER BY block, i) AS names FROM taken GROUP BY k),
 pieces AS (
-  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
-  FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \\t]+|[\\n\\r]+') AS parts FROM documents)),
-named AS (
-  SELECT doc_id, i, name FROM pieces JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence),
-lines AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS sentences FROM named GROUP BY doc_id),
-found AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-  FROM lines JOIN rules ON contains(',' || sentences || ',', seq) GROUP BY doc_id)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(sentences, '') AS sentences
-FROM documents LEFT JOIN lines USING (doc_id) LEFT JOIN found USING (doc_id)
+  SELECT k, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+  FROM (SELECT k, regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \\t]+|[\\n\\r]+') AS parts FROM docs)),
+single AS (
+  SELECT k, string_agg(name, ',,' ORDER BY i) AS names FROM pieces JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY k),
+tried AS (
+  SELECT k, 0 AS rule, '|,' || coalesce(l.names, '') || ',||,' || coalesce(s.names, '') || ',|' AS line, NULL::VARCHAR AS license FROM lines l FULL JOIN single s USING (k)
+  UNION ALL
+  SELECT k, r.rule, replace(line, seq, '|'), CASE WHEN contains(line, seq) THEN r.license END FROM tried t JOIN rules r ON r.rule = t.rule + 1),
+found AS (SELECT k, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM tried GROUP BY k)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(sentences, '') AS sentences FROM docs LEFT JOIN lines USING (k) LEFT JOIN found USING (k)
 """
 
 
