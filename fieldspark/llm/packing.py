@@ -24,8 +24,8 @@ from .pretokens import added_token_cache, library_cache
 from .shared import columns_apart, per_batch, stored
 from .text import chunks
 
-# Parts in which equal lengths are ranked.
-SALTS = 64
+# Pieces of one length that are ranked together, about.
+PART = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -155,24 +155,35 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "norm"
     length: rows with equal keys are the same piece twice and both get a place. Nulls are allowed in the
     key. An empty table gives an empty result.
     """
-    rows = stored(pieces.withColumn("__salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")), "pieces")
-    counts = rows.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
-    plan, _ = best_fit_plan(histogram, capacity, score)
+    rows = stored(pieces, "pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect()}
+    # A piece that fills a sequence has one for itself, whatever its rank, and is not sorted.
+    n_full = histogram.pop(capacity.tokens, 0)
+    if n_full and capacity.attention is not None and capacity.attention < capacity.tokens**2:
+        raise ValueError(f"a piece of {capacity.tokens} tokens fits no sequence")
+    plan, bins = best_fit_plan(histogram, capacity, score)
     spark = pieces.sparkSession
+    own = [F.col(f"`{c}`") for c in pieces.columns]
+    full = rows.filter(F.col("length") == capacity.tokens).select(*own, (F.lit(bins) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     slots = spark.createDataFrame(plan or [], "length long, __rank long, __count long, __bin long, __per long, __at long")
+    # Lengths are ranked in parts of about PART pieces, so that a length that many pieces have is sorted by many tasks.
+    parts = spark.createDataFrame([(n, -(-c // PART)) for n, c in histogram.items()], "length long, __parts long")
+    rest = rows.filter(F.col("length") != capacity.tokens).join(F.broadcast(parts), "length")
+    rest = rest.withColumn("__salt", F.pmod(F.xxhash64(*key), F.col("__parts"))).drop("__parts")
+    counts = rest.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    # At most one row per length and salt, and a few per length: both tables are bounded by the capacity.
+    # A row per length and one more per PART pieces, and a few per length: both tables are small at any size.
     offsets = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*key)) - 1)
+    ranked = rest.withColumn("__r", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*key)) - 1)
     placed = ranked.join(F.broadcast(offsets), ["length", "__salt"]).withColumn("__r", F.col("__r") + F.col("__before"))
     found = placed.join(F.broadcast(slots.withColumnRenamed("length", "__length")), (F.col("length") == F.col("__length")) & F.col("__r").between(F.col("__rank"), F.col("__rank") + F.col("__count") - 1))
     j = F.col("__r") - F.col("__rank")
-    return found.select(
-        *[F.col(f"`{c}`") for c in pieces.columns],
+    ranged = found.select(
+        *own,
         (F.col("__bin") + F.floor(j / F.col("__per"))).cast("long").alias("sequence_id"),
         (F.col("__at") + (j % F.col("__per")) * F.col("length")).cast("long").alias("offset"),
     )
+    return ranged.unionAll(full)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
