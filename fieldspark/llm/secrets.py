@@ -118,12 +118,13 @@ class Automaton:
 UNKNOWN = math.log(1e-4)
 
 
-def inferred(values: Iterable[str], alpha: float = 0.05, least: int = 10) -> Automaton:
+def inferred(values: Iterable[str], alpha: float = 0.05) -> Automaton:
     """State merging on the prefix tree of ``values``, in the order of the states' distance from the root.
 
     Two states are compatible if, for their ends and every symbol, the shares differ by less than the
-    bound of Hoeffding at ``alpha``, and so for the states that equal symbols lead to. States seen fewer
-    than ``least`` times are folded into the first compatible one. No values: an automaton that ends.
+    bound of Hoeffding at ``alpha``, and so for the states that equal symbols lead to; the bound is wide for
+    states that few values reach. A state is folded into the first that it is compatible with, and stays by
+    itself where there is none. No values: an automaton that ends.
     """
     children: list[dict[str, int]] = [{}]
     passed, ended = [0], [0]
@@ -200,10 +201,7 @@ def inferred(values: Iterable[str], alpha: float = 0.05, least: int = 10) -> Aut
                 fold(r, q)
                 break
         else:
-            if passed[q] >= least:
-                red.append(q)
-            else:
-                fold(max(red, key=lambda r: passed[r]), q)
+            red.append(q)
         red = list(dict.fromkeys(map(root, red)))
         blue = sorted({root(c) for r in red for c in children[r].values()} - set(red))
     number = {r: i for i, r in enumerate(red)}
