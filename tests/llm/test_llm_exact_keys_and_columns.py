@@ -1,6 +1,7 @@
 """Keys that hold for any text, and stages that take any column."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -190,3 +191,186 @@ def test_secret_spans_with_clashing_columns(llm):
 def test_queries_leave_ids_whole(llm, sf):
     df = QUERIES["op4_minhash_near_dedup"](llm, sf)
     assert df.count() == llm.read.parquet(f"{sf}/documents.parquet").count()
+
+
+# --- licences
+
+
+def test_every_known_sentence_is_found_by_itself(llm):
+    from fieldspark.llm import licenses
+
+    texts = [(i, f"Title {i}\n\n * {t[0].upper()}{t[1:]}.\n\nMore.") for i, t in enumerate(licenses.TEXTS.values())]
+    df = llm.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["sentences"] for r in licenses.license_scan(df).collect()}
+    assert got == dict(enumerate(licenses.TEXTS))
+
+
+def plain_rules(line, rules):
+    """Rules in order over lists of names; what one has matched is cut out."""
+    parts, out = [list(x) for x in line], set()
+    for license, seq in rules:
+        seq, hit, left = list(seq), False, []
+        for part in parts:
+            at = now = 0
+            while at < len(part):
+                if part[at : at + len(seq)] == seq:
+                    left.append(part[now:at])
+                    at += len(seq)
+                    now, hit = at, True
+                else:
+                    at += 1
+            left.append(part[now:])
+        parts = left
+        if hit:
+            out.add(license)
+    return ",".join(sorted(out))
+
+
+def test_rules_in_their_order_equal_a_plain_loop(llm):
+    from fieldspark.llm import licenses
+
+    rng = random.Random(6)
+    names = list(licenses.TEXTS)
+    docs = []
+    for _ in range(150):
+        some = []
+        for _ in range(rng.randint(1, 4)):
+            some += rng.choice([list(rng.choice(licenses.RULES)[1]), [rng.choice(names)], list(rng.choice(licenses.RULES)[1])[:-1]])
+        docs.append(some + some if rng.random() < 0.2 else some)
+    texts = [(i, "".join(f"{licenses.TEXTS[n]}.\n\n" for n in some)) for i, some in enumerate(docs)]
+    for r in licenses.license_scan(llm.createDataFrame(texts, "doc_id long, text string")).collect():
+        found = [x for x in r["sentences"].split(",") if x]
+        assert found == docs[r["doc_id"]]
+        lines = [n for n in found if not set(licenses.TEXTS[n]) & set(";") and ". " not in licenses.TEXTS[n]]
+        assert r["licenses"] == plain_rules([found, lines], licenses.RULES), texts[r["doc_id"]]
+
+
+def test_full_texts_and_the_same_rule_in_sql(llm, scratch):
+    """Hard-wrapped notices in comments, one line and mixed, against the registered SQL."""
+    import textwrap
+
+    import duckdb
+
+    from fieldspark.llm import licenses
+    from fieldspark.llm.queries import SQL
+
+    t = licenses.TEXTS
+    bsd = [t["bsd-grant"] + ":", "1. " + t["bsd-source"] + ".", "2. " + t["bsd-binary"] + "."]
+    notices = {
+        "MIT": [t["mit-title"], "Copyright (c) 2020 Somebody", t["mit-grant"] + ":", t["mit-notice"] + ".", t["mit-asis"] + ". " + t["mit-liability"] + "."],
+        "BSD-2-Clause": [*bsd, t["bsd-asis"] + "."],
+        "BSD-3-Clause": [*bsd, "3. " + t["bsd-names"] + ".", t["bsd-asis"] + "."],
+        "LGPL-2.1": [t["lgpl21-free"] + ".", t["lgpl-hope"] + ".  " + t["lgpl-see"] + "."],
+        "AGPL-3.0": [t["agpl-free"] + ".", t["gpl-hope"] + ".  " + t["agpl-see"] + ".", t["agpl-copy"] + "."],
+        "GPL-2.0": [t["gpl2-free"] + ".", t["gpl-hope"] + ". " + t["gpl-see"] + "."],
+        "Zlib": [t["zlib-asis"] + ". " + t["zlib-liability"] + ".", t["zlib-grant"] + ":", "1. " + t["zlib-origin"] + "."],
+        "MPL-2.0": [t["mpl-form"] + ". " + t["mpl-obtain"] + "."],
+        "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); ' + t["apache-limits"] + ". " + t["apache-copy"], t["apache-url"], t["apache-asis"] + ".", t["apache-see"] + "."],
+    }
+    docs, want = [(0, None, 1), (0, "", 2), (None, "All rights reserved!", 3)], {}
+    for name, parts in notices.items():
+        for width in (28, 72, 2000):
+            for sign, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n")):
+                want[len(docs)] = name
+                docs.append((len(docs), "x = 1;" + end + end.join(sign + x for part in parts for x in [*textwrap.wrap(part, width), ""]), 4))
+    df = llm.createDataFrame(docs, "doc_id long, text string, licenses int")
+    got = [tuple(r) for r in licenses.license_scan(df).select("doc_id", "licenses", "sentences").collect()]
+    assert {i: x for i, x, _ in got if i in want} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, licenses INT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    rows = con.execute(f"SELECT doc_id, licenses, sentences FROM ({SQL['op9_license_scan']})").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, rows))
+
+
+# --- plain references of what is fitted
+
+
+def test_automata_merge_only_compatible_states():
+    """Shares of an automaton add up, and a rare state that fits none stays by itself."""
+    rng = random.Random(1)
+    for values in (["AB12" + "".join(rng.choices("0123456789", k=8)) for _ in range(200)], ["a" * 8] * 300 + ["-" + "z" * 9] * 9 + ["-9" * 4] * 9, ["x" * 12]):
+        a = secrets.inferred(values)
+        for end, steps in zip(a.ends, a.steps):
+            total = np.exp(end) + sum(np.exp(p) for p, _ in steps.values())
+            assert abs(total - 1) < 1e-9
+            assert all(0 <= to < len(a.ends) for _, to in steps.values())
+    # After nine values of one form and nine of another no state may have both continuations.
+    a = secrets.inferred(["a" * 8] * 300 + ["--------"] * 9)
+    start = a.steps[0]
+    first, second = (start[s][1] for s in ("f", "-"))
+    assert "-" not in a.steps[first] or first == 0 or second == 0
+
+
+def test_ordinal_regression_reaches_the_optimum_of_a_plain_likelihood():
+    """The penalised likelihood written out document by document, and improved by differences alone."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    n, spec = 90, toxicity.ToxicitySpec(features=4, steps=3000, penalty=1e-2)
+    x = rng.poisson(1.0, (n, 4)).astype(float)
+    grades = np.digitize(x @ [1.5, -1.0, 0.5, 0.0] + rng.logistic(size=n), [0.5, 2.0])
+    doc, place = np.nonzero(x)
+    bounds = np.searchsorted(doc, np.arange(n + 1))
+    model = toxicity.fit_ordinal(place, x[doc, place], bounds, grades, np.ones(4, bool), spec)
+
+    def loss(params):
+        w, cuts = params[:4], [params[4], params[4] + math.exp(params[5])]
+        out = 0.0
+        for row, grade in zip(x, grades):
+            z = sum(a * b for a, b in zip(row, w))
+            above = [1.0, *[1 / (1 + math.exp(c - z)) for c in cuts], 0.0]
+            out -= math.log(above[grade] - above[grade + 1])
+        return out / n + spec.penalty / 2 * sum(a * a for a in w)
+
+    def slope(params):
+        out = []
+        for k in range(6):
+            step = np.zeros(6)
+            step[k] = 1e-6
+            out.append((loss(params + step) - loss(params - step)) / 2e-6)
+        return np.array(out)
+
+    plain, rate = np.zeros(6), 1.0
+    for _ in range(400):
+        g = slope(plain)
+        while loss(plain - rate * g) > loss(plain) - 0.3 * rate * (g @ g) and rate > 1e-9:
+            rate /= 2
+        plain, rate = plain - rate * g, rate * 1.5
+    fitted = np.concatenate([model.weights, [model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])]])
+    assert loss(fitted) <= loss(plain) + 1e-5 and np.abs(slope(fitted)).max() < 1e-3
+    p = model.exceed(place, x[doc, place], bounds)
+    for row, found in zip(x, p):
+        z = sum(a * b for a, b in zip(row, model.weights))
+        assert found == pytest.approx([1 / (1 + math.exp(c - z)) for c in model.thresholds])
+
+
+@pytest.mark.parametrize("capacity", [packing.Capacity(64), packing.Capacity(64, documents=3), packing.Capacity(64, attention=1500)])
+def test_plan_is_as_good_as_best_fit_piece_by_piece(capacity):
+    """The plan over the histogram against a plain best fit that places one piece after another."""
+    rng = random.Random(12)
+    for _ in range(5):
+        pieces = [rng.choice([3, 5, 8, 13, 21, 34]) for _ in range(300)]
+        bins = []
+        for n in sorted(pieces, reverse=True):
+            need = np.array([n, 1, n * n])
+            fits = [b for b in bins if (b >= need).all()]
+            whole = capacity.vector()
+            if fits:
+                best = min(fits, key=lambda b: ((((b - need) / whole) ** 2) * [1.0, 1e-3, 1e-3]).sum())
+                best -= need
+            else:
+                bins.append(whole - need)
+        histogram = collections.Counter(pieces)
+        _, used = packing.best_fit_plan(histogram, capacity)
+        assert used <= len(bins) + 1
+
+
+def test_full_pieces_have_sequences_of_their_own(llm):
+    pieces = llm.createDataFrame([(i % 7, 0, i, 8 if i % 3 else 3) for i in range(600)], "doc_id long, piece int, ids_crc32 long, length long").repartition(5)
+    rows = packing.pack(pieces, packing.Capacity(8)).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == 600 and len(by) == 400 + 100
+    assert all(sorted(x) in ([(0, 8)], [(0, 3), (3, 3)]) for x in by.values())
+    with pytest.raises(ValueError):
+        packing.pack(pieces, packing.Capacity(8, attention=60))
