@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import LOGGER, SITE_NAMES, logger, r, rsql, table
+from ..fixtures import CELLS, LOGGER, SITE_NAMES, cells, logger, r, rsql, table
 from ..functions.text import site_from_name
-from ..operators.joins import r_join
+from ..operators.joins import baseline_delta, r_join
 from ..operators.projection import time_bound
 from ..session import ensure_checkpoint_dir
 from ..sources import loggers as L
@@ -16,7 +16,7 @@ from ..sources.delimited import decimal_comma, read_delim, read_parts
 from ..sources.dictionaries import SITES, dictionaries
 from ..sources.grid import grid_subset
 from ..sources.log_files import channel_readings, scan_log_lines, two_column_readings
-from ..sources.tables import load, load_tables, save, write_result_csv
+from ..sources.tables import load, load_tables, replace_parts, save, save_bucketed, write_result_csv
 from .registry import query
 
 
@@ -215,3 +215,16 @@ def scan_logger_files(spark, d):
     return readings.groupBy("ID", "type", "logger").agg(
         F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"), r(F.sum("value"), 2).alias("total"), F.min("date").alias("first"), F.max("date").alias("last")
     )
+
+
+@query("S12 J11", f"""WITH {CELLS}, t AS (SELECT siteID || '-' || blockID || '-' || Treatment AS turfID, Year, CASE WHEN Year = 1996 THEN 2 * cover ELSE cover END AS cover FROM cells)
+SELECT t.turfID, t.Year, {rsql("t.cover", 2)} AS cover, {rsql("t.cover - b.cover", 2)} AS delta_cover FROM t LEFT JOIN (SELECT * FROM t WHERE Year = 1995) b USING (turfID)""")
+def change_in_saved_turfs(spark, d):
+    """Turfs are saved by their key and by year, one year is written anew, and the change since a baseline is read off without a shuffle."""
+    turf = F.concat_ws("-", "siteID", F.col("blockID").cast("string"), "Treatment")
+    rows = cells(spark, d).select(turf.alias("turfID"), F.col("cover").cast("double").alias("cover"), "Year")
+    name = f"turfs_{uuid.uuid4().hex}"
+    save_bucketed(rows, name, ["turfID"], 8, _scratch(spark, "turfs"), ["Year"])
+    replace_parts(rows.filter("Year = 1996").withColumn("cover", 2 * F.col("cover")), name, ["turfID"], 8)
+    out = baseline_delta(spark.table(name), ["turfID"], "Year", 1995, ["cover"], na_matches=False)
+    return out.select("turfID", "Year", r("cover", 2).alias("cover"), r("delta_cover", 2).alias("delta_cover"))

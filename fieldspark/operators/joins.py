@@ -160,11 +160,14 @@ def paired_delta(
     return pairs.withColumns({f"delta_{col}": F.col(col) - F.col(f"{col}_control") for col in cols})
 
 
-def baseline_delta(df: DataFrame, key: Sequence[str], time: str, t0: object, cols: Sequence[str]) -> DataFrame:
-    """Value minus the value of the same key at time ``t0``."""
+def baseline_delta(df: DataFrame, key: Sequence[str], time: str, t0: object, cols: Sequence[str], na_matches: bool = True) -> DataFrame:
+    """Value minus the value of the same key at time ``t0``.
+
+    Without ``na_matches`` rows with a missing key have no baseline, and a table saved by these keys is joined as it lies.
+    """
     base = unique_by(df.filter(F.col(time) == t0), key, cols, "baseline rows")
     base = base.select(*key, *[F.col(c).alias(f"{c}_base") for c in cols])
-    out = r_join(df, base, list(key), "left")
+    out = r_join(df, base, list(key), "left", na_matches=na_matches)
     return out.withColumns({f"delta_{c}": F.col(c) - F.col(f"{c}_base") for c in cols})
 
 

@@ -39,6 +39,12 @@ def _number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
+def _check_order(df: DataFrame, *cols: str) -> None:
+    """Text has no split points; it is refused at every size, not only where a group is cut."""
+    for c in cols:
+        _number(df, c)
+
+
 def _splits(df: DataFrame, col: str, pieces: int) -> list[float]:
     probs = [i / pieces for i in range(1, pieces)]
     return df.select(_number(df, col).alias("v")).approxQuantile("v", probs, 1.0 / (4 * pieces)) if probs else []
@@ -82,7 +88,8 @@ def _piece_count(largest: int, limit: int) -> int:
 def lag_in_group(
     df: DataFrame, keys: Sequence[str], order: str, tie: str, col: str, out: str, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """The previous value of ``col`` within its group, NULL on the first row."""
+    """The previous value of ``col`` within its group, NULL on the first row. ``order`` and ``tie`` are numbers or times."""
+    _check_order(df, order, tie)
     largest = largest_group(df, keys)
     if largest <= limit:
         return df.withColumn(out, F.lag(col).over(Window.partitionBy(*keys).orderBy(order, tie)))
@@ -100,7 +107,11 @@ def lag_in_group(
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, tie: str, value: Column, out: str, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Cumulative sum within a group; once a value is missing, the rest of the group is NULL."""
+    """Cumulative sum within a group; once a value is missing, the rest of the group is NULL.
+
+    ``order`` and ``tie`` are numbers or times.
+    """
+    _check_order(df, order, tie)
     df = df.withColumn("__x", value)
     largest = largest_group(df, keys)
     if largest <= limit:

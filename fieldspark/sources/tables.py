@@ -52,3 +52,29 @@ def load(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
 def write_result_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
     """Result table as CSV with a header; NULL is written as ``NA``."""
     df.write.mode(mode).option("header", True).option("sep", sep).option("nullValue", "NA").csv(path)
+
+
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Save a table whose rows lie by key, and read it: groups and joins by these keys move nothing any more.
+
+    The one shuffle is paid here. Every bucket is one file per value of ``partition_by``. A hot key is one bucket's, as in any
+    table that spares the shuffle; keys that hold a large share of the rows belong in ``partition_by`` or in a plain table.
+    """
+    rows = df.repartition(buckets, *keys).sortWithinPartitions(*partition_by, *keys)
+    writer = rows.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def replace_parts(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
+    """Write the partitions anew that ``df`` has rows of; all others stay, and so do the buckets. Columns go by name."""
+    spark = df.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    rows = df.select(*spark.table(name).columns).repartition(buckets, *keys)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, before)
+    spark.catalog.refreshTable(name)

@@ -140,3 +140,13 @@ def test_histogram(spark):
 def test_cumsum_by(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("a", 2, 4.0)], "k string, y int, v double")
     assert rows(O.cumsum_by(df, ["k"], "y", "v")) == [("a", 1, 5.0, 5.0), ("a", 2, 4.0, 9.0)]
+
+
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_text_has_no_order_at_any_size(spark, limit):
+    df = spark.createDataFrame([("a", "1", 1, 2.0), ("a", "2", 2, 3.0)], "k string, t string, id int, v double")
+    for order, tie in (("t", "id"), ("id", "t")):
+        with pytest.raises(TypeError):
+            O.lag_in_group(df, ["k"], order, tie, "v", "p", limit)
+        with pytest.raises(TypeError):
+            O.running_sum(df, ["k"], order, tie, F.col("v"), "s", limit)
