@@ -10,8 +10,8 @@ least. From it follows
   stays below the cover that a neighbour has to share. A neighbour shares some other species as well.
 
 Only what is left is joined, by species and block. Pairs whose shared cover so far, and the most that the lists left out
-can add, miss the bound are dropped; the others are compared in full. Samplings with equal covers
-of all species are one class, so that many equal ones do not make pairs among themselves.
+can add, miss the bound are dropped; of the others those with lists left out are compared in full. Samplings with equal
+covers of all species are one class, so that many equal ones do not make pairs among themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from ..session import cut_lineage
 TOTAL_RATIO, BLOCK = 1.1, 512
 # Lists, and blocks of each, that the first look takes.
 PROBE_LISTS, PROBE_BLOCKS = 3, 2
+# A list of no more postings is joined anyway: that is cheaper than to compare whole samplings instead.
+SHORT_LIST = 64
 # Bounds are compared with this share to spare, which covers rounding in sums of covers.
 SLACK = 1e-9
 
@@ -143,7 +145,7 @@ def nearest_samplings(df: DataFrame, row: Sequence[str], k: int, species: str =
     gain = F.least("ca", "most")
     longest = W.partitionBy("a").orderBy(F.desc("length"), "s").rowsBetween(W.unboundedPreceding, 0)
     bounded = bounded.withColumn("so_far", F.sum(gain).over(longest))
-    skipped = F.col("so_far") < needed * (1 - SLACK)
+    skipped = (F.col("so_far") < needed * (1 - SLACK)) & (F.col("length") > SHORT_LIST)
     bounded = bounded.withColumns({"skipped": skipped, "left": F.max(F.when(skipped, F.col("so_far"))).over(W.partitionBy("a"))})
     open_lists = bounded.filter(~F.col("skipped")).select("a", "ta", "s", "ca", "least", F.coalesce("left", F.lit(0.0)).alias("left"))
     # Totals in reach: one bin further on either side, for rounding of the logarithm.
@@ -152,8 +154,16 @@ def nearest_samplings(df: DataFrame, row: Sequence[str], k: int, species: str =
     near_blocks = span.join(blocks.select("s", "bin", "part"), "s").filter(F.col("low").isNull() | F.col("bin").between(F.col("low"), F.col("high")))
     met = near_blocks.drop("low", "high").join(postings, ["s", "bin", "part"]).filter("a != b")
     sums = met.groupBy("a", "b").agg(F.sum(F.least("ca", "c")).alias("x"), F.first("ta").alias("ta"), F.first("total").alias("tb"), F.first("least").alias("least"), F.first("left").alias("left"))
+    sim = 2 * F.col("x") / (F.col("ta") + F.col("tb"))
     hopeful = sums.filter(2 * (F.col("x") + F.col("left")) * (1 + SLACK) >= F.col("least") * (F.col("ta") + F.col("tb")))
-    found = _compared(hopeful.select("a", "b"), classes)
+    hopeful = cut_lineage(hopeful.select("a", "b", "left", sim.alias("sim")))
+    # Where no list was left out the sum is whole, up to the order in which it was added up.
+    known = cut_lineage(hopeful.filter("left = 0").select("a", "b", "sim").unionAll(_compared(hopeful.filter("left > 0").select("a", "b"), classes)))
+    best = known.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim")))).filter(F.col("r") <= k)
+    last = best.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("last")).filter(F.col("n") == k).drop("n")
+    # Those that may be among the k are compared in one order of the species, which decides ties.
+    close = known.join(last, "a", "left").filter(F.col("sim") >= F.coalesce("last", F.lit(0.0)) * (1 - SLACK))
+    found = _compared(close.select("a", "b"), classes)
 
     # The classes a member of a can need are the k best others and its own; each brings its k + 1 smallest ids.
     best = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("r") <= k).select("a", "b", "sim")
