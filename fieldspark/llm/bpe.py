@@ -106,7 +106,8 @@ def rank_cache(file: bytes) -> PieceCache:
 def bpe_encode(docs: DataFrame, rank_file: bytes, with_slices: bool = True) -> DataFrame:
     """``doc_id, ids`` and ``slice_starts``, the byte offsets in the text of its pre-tokens.
 
-    Null texts count as empty: no ids. Null and repeated doc_ids are kept; other columns are ignored.
+    Null texts count as empty: no ids. Null and repeated doc_ids are kept; other columns are ignored, whole texts of any
+    length are read, and an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

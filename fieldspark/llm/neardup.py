@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     blanks; with fewer words, the whole). Null and empty texts have an empty set, are linked with
     nothing and kept. ``component_id`` is the smallest id reachable by links of the given similarity.
     Rows with a null doc_id are linked with nothing (component null, kept). Rows with a repeated doc_id
-    share links of each other's texts. Other columns are ignored; an empty table gives an empty result.
+    share links of each other's texts. Other columns are ignored, whole texts of any length are read, and an empty
+    table gives an empty result.
     """
     rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(rows, spec), "signatures")

@@ -63,7 +63,7 @@ def token_pieces(docs: DataFrame, definition: bytes, end_id: int = 0, tokens: in
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every document's pieces.
 
     Null texts count as empty and give one piece with the end id. Null and repeated ids are kept; other
-    columns are ignored. ``definition``: a tokenizer file of the tokenizers library; ``added_tokens``: as in
+    columns are ignored, whole texts of any length are cut, and an empty table gives an empty result. ``definition``: a tokenizer file of the tokenizers library; ``added_tokens``: as in
     :func:`encoded_documents`.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")

@@ -350,7 +350,8 @@ def secret_spans(docs: DataFrame, examples: int = 400) -> DataFrame:
 
     Offsets count code points, ends are exclusive. Pattern spans are always there; inferred ones have the
     kind of the automaton and overlap none of them. A null text counts as empty and has no spans; null and
-    repeated ids are kept, other columns are ignored.
+    repeated ids are kept, other columns are ignored, whole texts of any length are read, and an empty table gives an empty
+    result.
     """
     rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = infer_formats(stored(found_strings(rows), "secret-strings"), examples)

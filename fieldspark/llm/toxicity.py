@@ -71,7 +71,9 @@ class OrdinalModel:
     def score(self, docs: DataFrame) -> DataFrame:
         """``doc_id, expected_severity, severity, toxic`` per row; a null text counts as empty.
 
-        ``severity`` is the most likely grade; ``toxic`` whether a grade above 0 is at least as likely as 0.
+        ``severity`` is the most likely grade; ``toxic`` whether a grade above 0 is at least as likely as 0. Null and
+        repeated ids are kept, each row by itself; whole texts of any length are read, other columns are ignored, and an
+        empty table gives an empty result.
         """
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:

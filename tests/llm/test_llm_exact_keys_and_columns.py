@@ -374,3 +374,13 @@ def test_full_pieces_have_sequences_of_their_own(llm):
     assert all(sorted(x) in ([(0, 8)], [(0, 3), (3, 3)]) for x in by.values())
     with pytest.raises(ValueError):
         packing.pack(pieces, packing.Capacity(8, attention=60))
+
+
+def test_licence_and_secret_at_the_end_of_a_long_text(llm):
+    from fieldspark.llm import licenses
+
+    long = "word, more words. " * 60_000
+    df = odd_documents(llm, [(1, long + "\nReleased under\nthe MIT License."), (2, long + " AKIA" + "A1" * 10), (3, long)])
+    assert {r["doc_id"]: r["licenses"] for r in licenses.license_scan(df).collect()} == {1: "MIT", 2: "", 3: ""}
+    spans = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["spans"] if not s["inferred"]] for r in secrets.secret_spans(df).collect()}
+    assert spans == {1: [], 2: [("access", len(long) + 1)], 3: []}
