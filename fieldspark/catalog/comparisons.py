@@ -435,16 +435,16 @@ def readings_in_any_window(spark, d):
 
 # ---- stored sketches --------------------------------------------------------------------------
 
-_PROBS = (0.05, 0.5, 0.95)
+_SKETCH_PROBS = (0.05, 0.5, 0.95)
 
 
-@query("A18 S12", f"""WITH {LOGGER} SELECT siteID, CAST(p.prob AS DOUBLE) AS prob, count(value) AS n, true AS within FROM logger, (VALUES {", ".join(f"({p})" for p in _PROBS)}) AS p(prob)
+@query("A18 S12", f"""WITH {LOGGER} SELECT siteID, CAST(p.prob AS DOUBLE) AS prob, count(value) AS n, true AS within FROM logger, (VALUES {", ".join(f"({p})" for p in _SKETCH_PROBS)}) AS p(prob)
 WHERE value IS NOT NULL GROUP BY ALL""")
 def quantiles_of_merged_days(spark, d):
     """Daily sketches are stored; the sites' quantiles come from them, and their ranks among all readings are within the bound."""
     readings = logger(spark, d).select("siteID", F.to_date("date").alias("day"), "value")
     days = cut_lineage(SK.quantile_sketches(readings, ["siteID", "day"], "value"))
-    found = SK.sketch_quantiles(SK.merged_sketches(days, ["siteID"]), _PROBS)
+    found = SK.sketch_quantiles(SK.merged_sketches(days, ["siteID"]), _SKETCH_PROBS)
     ranked = r_join(readings.filter("value IS NOT NULL"), found, ["siteID"], "inner").groupBy("siteID", "prob", "n").agg(
         F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("upto")
     )
