@@ -24,8 +24,8 @@ from .pretokens import added_token_cache, library_cache
 from .shared import columns_apart, per_batch, stored
 from .text import chunks
 
-# Pieces of one length that are ranked together, about.
-PART = 1 << 17
+# Pieces of one length that are ranked together, about; up to PARTS parts of a length are smaller, down to SMALL pieces.
+PART, PARTS, SMALL = 1 << 17, 64, 256
 
 
 @dataclass(frozen=True)
@@ -166,13 +166,13 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "norm"
     own = [F.col(f"`{c}`") for c in pieces.columns]
     full = rows.filter(F.col("length") == capacity.tokens).select(*own, (F.lit(bins) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     slots = spark.createDataFrame(plan or [], "length long, __rank long, __count long, __bin long, __per long, __at long")
-    # Lengths are ranked in parts of about PART pieces, so that a length that many pieces have is sorted by many tasks.
-    parts = spark.createDataFrame([(n, -(-c // PART)) for n, c in histogram.items()], "length long, __parts long")
+    # Lengths are ranked in parts, so that a length that many pieces have is sorted by many tasks.
+    parts = spark.createDataFrame([(n, max(-(-c // PART), min(PARTS, -(-c // SMALL)))) for n, c in histogram.items()], "length long, __parts long")
     rest = rows.filter(F.col("length") != capacity.tokens).join(F.broadcast(parts), "length")
     rest = rest.withColumn("__salt", F.pmod(F.xxhash64(*key), F.col("__parts"))).drop("__parts")
     counts = rest.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    # A row per length and one more per PART pieces, and a few per length: both tables are small at any size.
+    # At most PARTS rows per length, or one per PART pieces, and a few per length: both tables are small at any size.
     offsets = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     ranked = rest.withColumn("__r", F.row_number().over(W.partitionBy("length", "__salt").orderBy(*key)) - 1)
     placed = ranked.join(F.broadcast(offsets), ["length", "__salt"]).withColumn("__r", F.col("__r") + F.col("__before"))
