@@ -99,6 +99,22 @@ def test_many_equal_samplings_make_no_pairs(spark, monkeypatch):
     assert got == brute_neighbours(rows, 2) and max(seen) <= 2
 
 
+@pytest.mark.parametrize("numbers", [True, False])
+def test_chunks_meet_without_a_row_per_pair(spark, monkeypatch, numbers):
+    """Where lists are short no two samplings are laid side by side, and a task gives k rows per sampling, however many chunks there are."""
+    rng = random.Random(7)
+    rows = [(i, 1, s if numbers else f"s{s:02d}", rng.randint(1, 9) + rng.random()) for i in range(120) for s in rng.sample(range(40), 8)]
+    monkeypatch.setattr(N, "CHUNK", 100)
+    seen, met = [], []
+    whole, meet = N._compared, N._met
+    monkeypatch.setattr(N, "_compared", lambda p, c: (seen.append(p.count()), whole(p, c))[1])
+    monkeypatch.setattr(N, "_met", lambda c, k: (met.append((c.count(), meet(c, k).count())), meet(c, k))[1])
+    df = spark.createDataFrame(rows, "site int, Year int, species " + ("int" if numbers else "string") + ", cover double")
+    assert found(N.nearest_samplings(df, ["site", "Year"], 2)) == brute_neighbours(rows, 2)
+    chunks, out = met[0]
+    assert sum(seen) == 0 and chunks >= 8 and out <= 120 * 2 * max(1, N.TASKS // chunks)
+
+
 def test_nearest_samplings_of_nothing(spark):
     assert N.nearest_samplings(spark.createDataFrame([], SCHEMA), ["site", "Year"], 2).count() == 0
 
