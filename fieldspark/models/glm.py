@@ -9,6 +9,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .design import INTERCEPT, Term, design_columns
 
 
@@ -29,6 +30,8 @@ def glm(
     design = {n: c for n, c in design_columns(terms, factors, True).items() if n != INTERCEPT}
     extra = [F.col(weight).cast("double").alias("__w")] if weight else []
     rows = df.select(F.col(y).cast("double").alias("__y"), *extra, *[c.alias(f"__x{i}") for i, c in enumerate(design.values())]).dropna()
+    # Every step of the fit and every figure of its summary reads the rows again: they are made once.
+    rows = cut_lineage(rows)
     data = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(design))], outputCol="features").transform(rows)
     est = GeneralizedLinearRegression(family=family, labelCol="__y", featuresCol="features", maxIter=max_iter, tol=1e-10, regParam=0.0)
     if weight:
@@ -51,8 +54,9 @@ def fit_by(df: DataFrame, key: str, spec: Mapping[object, Callable[[DataFrame],
     """A fit per level of ``key``, each with its own model, in one tagged table.
 
     ``spec`` maps a level to a function from its rows to a term table, for example one family per
-    trait. The loop runs over models, not over rows.
+    trait. The loop runs over models, not over rows, and the rows are made once for all of them.
     """
+    df = cut_lineage(df.filter(F.col(key).isin(*spec)))
     out: DataFrame | None = None
     for level, fit in spec.items():
         part = fit(df.filter(F.col(key) == level)).withColumn(key, F.lit(level))

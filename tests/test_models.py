@@ -189,6 +189,20 @@ def test_glm_equals_newton(spark, family):
     np.testing.assert_allclose(got.std_error, se, rtol=1e-5)
 
 
+def test_rows_are_made_once_for_all_steps_of_a_fit(spark):
+    """A fit reads its rows many times; what makes them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 60, 1, 2).selectExpr("CASE WHEN id % 2 = 0 THEN 'u' ELSE 'v' END AS t", "id % 7 AS x", "id % 5 + 1.0D AS y").mapInArrow(counted, "t string, x long, y double")
+    spec = {t: (lambda d: glm(d, "y", ["x"], "poisson").select("term", "estimate")) for t in ("u", "v")}
+    assert fit_by(df, "t", spec).count() == 4 and made.value == 60
+
+
 def test_model_per_level(plots):
     df, _ = plots
     out = fit_by(df, "tr", {t: (lambda d: ols(d, "y", ["x"])) for t in ("C", "F")})
