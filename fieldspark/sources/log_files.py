@@ -6,11 +6,13 @@ lines say about the others is one row per file, which is laid beside the block r
 block's row only: no file, however large, meets in one task, and lines move only where there are too many blocks to
 send their table round.
 
-The files are read three times (blocks, headers, lines); that is cheaper than moving the lines once.
+The files are opened once: very many small ones cost more to open than to read. Their lines are stored in columns, where
+a path and a block number take next to nothing, and blocks, headers and lines are read from there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import site_from_name
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .loggers import EXCLUDED_NAMES, keep_file, logger_kind, parse_button_lines, parse_channel_lines, parse_two_column_lines
 
 #: Lines of a file that may belong to its header.
@@ -39,6 +41,14 @@ def _placed(spark: SparkSession, root: str, include: Sequence[str], exclude: Seq
     return rows.filter(keep_file("path", include, exclude))
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the checkpoint folder, in a few parts per core."""
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    rows.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def scan_log_lines(
     spark: SparkSession,
     root: str,
@@ -52,7 +62,7 @@ def scan_log_lines(
     ``head`` has the file's first ``header_lines`` lines (all, if there are fewer). Empty files have no lines; the line after a last line end is none.
     Files are kept by extension and name as in :func:`~fieldspark.sources.loggers.scan_logs`, and have no largest size.
     """
-    rows = _placed(spark, root, include, exclude, encoding)
+    rows = _stored(_placed(spark, root, include, exclude, encoding))
     blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     blocks = cut_lineage(blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"))

@@ -93,6 +93,15 @@ def test_button_files_and_empty_folders(spark, scratch, small_blocks):
     assert scan_log_lines(spark, empty).count() == 0 and channel_readings(scan_log_lines(spark, empty)).count() == 0
 
 
+def test_files_are_opened_once(spark, scratch):
+    put(scratch, "in/a.txt", b"one\ntwo\n")
+    lines = scan_log_lines(spark, f"{scratch}/in")
+    # What is read for the result are the stored lines, no longer the files.
+    assert lines.inputFiles() and not any("/in/" in f for f in lines.inputFiles())
+    os.remove(f"{scratch}/in/a.txt")
+    assert sorted((r["line_no"], r["line"]) for r in lines.collect()) == [(0, "one"), (1, "two")]
+
+
 # --- streams
 
 
